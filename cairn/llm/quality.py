@@ -7,7 +7,8 @@ descent on
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-where the step is reversed while the second term is negative, as the non-negative estimator demands.
+where the step is reversed while the second term is below zero by more than ``SLACK`` (the estimator's tolerance
+for sampling noise).
 
 Scale: one pass over the texts makes a narrow feature table in the shared folder; the fit takes bounded samples
 (``SAMPLE`` positives and ``SAMPLE`` unlabelled rows, by hash order, documented parameters); scoring is a map.
@@ -30,9 +31,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_crc, text_or_empty
 
 #: Positives, and unlabelled rows, that the fit takes at most.
-SAMPLE = 20_000
-BINS = 12
-STEPS = 600
+SAMPLE = 10_000
+#: Quantiles that part the bins of a feature.
+CUTS = np.r_[0, 0.005, 0.01, 0.02, 0.05, np.linspace(0.1, 0.9, 9), 0.95, 0.98, 0.99, 0.995]
+STEPS = 1500
+#: How far below zero sampling noise may take the estimated risk of the negatives before the step is reversed.
+SLACK = 0.005
 THRESHOLD = 0.3
 HELD_OUT_MOD = 5
 
@@ -88,14 +92,21 @@ class PuModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
+def bin_edges(values: np.ndarray) -> np.ndarray:
+    """Quantiles, close together in the tails, of the values above the least: what most texts lack is no bin's bulk."""
+    above = values[values > values.min()]
+    if not len(above):
+        return np.full(len(CUTS), values.min())
+    return np.r_[(values.min() + above.min()) / 2, np.quantile(above, CUTS[1:])]
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-5,
+           slack: float = SLACK) -> PuModel:
     """Minimises the non-negative PU risk with the logistic loss (full batches, so the fit is deterministic)."""
     if not len(positive) or not len(unlabelled):
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return PuModel(np.zeros((0, 0)), np.zeros(0), float(np.log(p / (1 - p))))
-    # quantiles see rare junk as well as common text; the tails get bins of their own
-    cuts = np.unique(np.r_[np.linspace(0, 1, BINS - 3)[1:-1], 0.01, 0.99, 0.03, 0.97])
-    edges = np.quantile(unlabelled, cuts, axis=0).T + 1e-9
+    edges = np.stack([bin_edges(unlabelled[:, j]) for j in range(unlabelled.shape[1])])
     model = PuModel(edges, np.zeros(edges.shape[0] * (edges.shape[1] + 1)), 0.0)
     width = len(model.weights)
     pos, unl = model.encode(positive), model.encode(unlabelled)
@@ -111,7 +122,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
         zp, zu = theta[-1] + theta[pos].sum(1), theta[-1] + theta[unl].sum(1)
         negative = loss(-zu).mean() - prior * loss(-zp).mean()
         g_neg = gradient(unl, sigmoid(zu)) - prior * gradient(pos, sigmoid(zp))
-        g = -g_neg if negative < 0 else prior * gradient(pos, -sigmoid(-zp)) + g_neg
+        g = -g_neg if negative < -slack else prior * gradient(pos, -sigmoid(-zp)) + g_neg
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
