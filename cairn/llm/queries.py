@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
-from .common import read_table
+from . import chat, class_lm, exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from .common import Scratch, read_table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,33 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    made = chat.format_trees(chat.reply_tree(rows.unionByName(extra)))
+    made = Scratch(spark, "op2").save(made, "formatted")
+    back = chat.read_back(F.col("formatted"), F.col("loss_mask"))
+    read = made.select("tree", F.length("formatted").cast("long").alias("formatted_chars"), back["turns"].alias("turns"), back["loss_text"].alias("loss_text"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), sha(lines).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity.severity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return graded.withColumnRenamed("id", "doc_id")
+
+
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_components(read_table(spark, sf_dir, "documents"), words=3, percent=85)
     kept = F.col("id").eqNullSafe(F.col("component"))
@@ -79,6 +106,25 @@ SQL = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
           CAST((((n * step + u) >> 28) - (((n - 1) * step + u) >> 28)) * size AS BIGINT) AS taken
         FROM e""",
+    "op2_chat_format": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+          SELECT *,
+            length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+            + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+            + length('<s>[INST]  [/INST]</s>') AS chars
+          FROM c),
+        g AS (
+          SELECT conv_id, count(*) AS n_turns,
+            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars
+          FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+        FROM g""",
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
