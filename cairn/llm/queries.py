@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, class_lm, exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from . import ann, chat, class_lm, exact_dedup, mixing, near_dedup, packing, quality, toxicity
 from .common import Scratch, read_table
 
 
@@ -41,6 +41,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = toxicity.severity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return graded.withColumnRenamed("id", "doc_id")
