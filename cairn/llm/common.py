@@ -16,6 +16,10 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+#: Python workers see batches of about so many bytes, whatever the length of texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,8 +52,12 @@ class Scratch:
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, held = f"{self.root}/{name}", self.spark.conf.get(BATCH_SETTING, None)
+        self.spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(BATCH_SETTING) if held is None else self.spark.conf.set(BATCH_SETTING, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -41,28 +41,27 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, as far as asked for."""
+class Powers:
+    """Powers of the hash base and of its inverse modulo 2^64, as far as asked for; one for each task."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
             n = max(n, 1 << 20)
-            cls.up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
-            cls.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)])
-        return cls.up, cls.down
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)])
+        return self.up, self.down
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of several texts, and each word's text number."""
     buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     word = _IS_WORD[buf]
     edge = np.flatnonzero(np.diff(np.r_[False, word]))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _Powers.of(len(buf) + 1)
+    up, down = powers.of(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
@@ -70,9 +69,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(closes, starts, "right")
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int, powers: Powers) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes, owner = word_hashes(texts)
+    hashes, owner = word_hashes(texts, powers)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     rolled = hashes.copy()
     for j in range(1, words):
@@ -127,9 +126,10 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     """One row per document: size and digest of its set, band keys and packed signature."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
         for pdf in batches:
             for a, b in slices(pdf.text.map(len).to_numpy(), SLICE_BYTES):
-                sets = shingle_sets(list(pdf.text[a:b]), words)
+                sets = shingle_sets(list(pdf.text[a:b]), words, powers)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 out = pd.DataFrame({"id": pdf.id[a:b].astype("Int64").array, "n_shingles": [len(s) for s in sets]})
                 out["set_a"] = [int(np.sum(s, dtype=np.uint64).astype(np.int64)) for s in sets]
@@ -150,9 +150,10 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, items): the sorted set of each row of (id, text)."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
         for pdf in batches:
             for a, b in slices(pdf.text.map(len).to_numpy(), SLICE_BYTES):
-                yield pd.DataFrame({"id": pdf.id[a:b].array, "items": [s.astype(np.int64) for s in shingle_sets(list(pdf.text[a:b]), words)]})
+                yield pd.DataFrame({"id": pdf.id[a:b].array, "items": [s.astype(np.int64) for s in shingle_sets(list(pdf.text[a:b]), words, powers)]})
 
     return docs.mapInPandas(compute, "id long, items array<long>")
 
