@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, class_lm, exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from . import ann, chat, class_lm, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity
 from .common import Scratch, read_table
 
 
@@ -51,6 +51,11 @@ def op4_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_texts(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
