@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from .shared import exists, replace
 
-QUESTION = T._parse_datatype_string(
+QUESTION = (
     "id string, question string, qtype string, reference_answer string, gold_chunk_ids array<string>, gold_paper_ids array<string>, split string, status string, "
     "gold_route string, oracle_sufficient boolean, notes string, gold_route_v2 string, ladder_recalls map<string,double>, validation string"
 )
-CHUNK = T._parse_datatype_string("chunk_id string, paper_id string, title string, section string, text string")
+CHUNK = "chunk_id string, paper_id string, title string, section string, text string"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
