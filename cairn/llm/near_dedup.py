@@ -3,13 +3,14 @@
 A document's set holds its distinct word shingles. ``MINIMA`` minima are taken of each set; bands of full minima
 give the candidates, only the low ``BITS`` bits of each minimum are kept and packed into a signature, and the
 similarity of a candidate pair is estimated by counting equal lanes, corrected for chance collisions
-(1 / 2^BITS of the lanes of unrelated sets agree). Pairs within ``MARGIN`` (over six standard deviations) of the threshold
-are confirmed on the full sets, so an estimate never decides alone.
+(1 / 2^BITS of the lanes of unrelated sets agree). Pairs estimated up to ``MARGIN`` (over five standard deviations)
+below the threshold are confirmed on the full sets, so an estimate never makes a link.
 
 No pairs are formed within a group of equal sets: such documents are one class with one representative. In a band's
-bucket every member is first held against the bucket's smallest member (one pair each). Links confirmed there make
-components; what is left to compare are members of other components than that of the smallest, against the
-bucket. Those comparisons run in blocks, and only pairs whose estimate passes become rows.
+bucket every member is first held against the bucket's smallest member, then, while a bucket holds several components,
+against a few drawn members, ``ROUNDS`` times: one pair each. What is left to compare are members outside the commonest
+component of their bucket, against the bucket. Those comparisons run in blocks on the full sets, and only links that join
+components become rows.
 
 A link at the threshold is missed by all bands with probability (1 - t^ROWS)^BANDS: 6e-11 at 0.85, 5e-8 at 0.8.
 
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_groups, mix64, slices, text_or_empty
 from .graph import components
 
-MINIMA, BANDS, ROWS, BITS = 128, 32, 4, 2
+MINIMA, BANDS, ROWS, BITS = 256, 32, 4, 2
 LANES = 64 // BITS
-MARGIN = 0.25
-BLOCK = 1024
+MARGIN = 0.15
+ROUNDS, PIVOTS = 2, 4
+BLOCK, ITEMS = 512, 1 << 14
 SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_WORD = np.ones(256, bool)
@@ -112,7 +114,7 @@ def packed(mins: np.ndarray) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    parts = mins.reshape(len(mins), BANDS, ROWS)
+    parts = mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
     for r in range(ROWS):
         key = mix64(key * BASE + parts[:, :, r])
@@ -171,6 +173,62 @@ def estimate(a: str, b: str) -> Column:
     return (share - chance) / (1 - chance)
 
 
+def joining_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between the rows of each bucket's two sides that are confirmed on the full sets, as many as it takes to
+    join the components they connect (a link between components that are joined already says nothing more)."""
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    out = []
+    sides = right.groupby("key").indices
+    for key, rows in left.groupby("key").indices.items():
+        a, b = left.iloc[rows], right.iloc[sides.get(key, np.zeros(0, int))]
+        if not len(b):
+            continue
+        la, lb = a.label.to_numpy(), b.label.to_numpy()
+        x, y = np.array(a.signature.tolist(), np.int64).view(np.uint64), np.array(b.signature.tolist(), np.int64).view(np.uint64)
+        unequal = np.zeros((len(a), len(b)), np.int64)
+        every = np.uint64(sum(1 << (BITS * i) for i in range(LANES)))
+        for w in range(x.shape[1]):
+            d = x[:, w, None] ^ y[None, :, w]
+            folded = d.copy()
+            for s in range(1, BITS):
+                folded |= d >> np.uint64(s)
+            unequal += np.bitwise_count(folded & every)
+        chance = 1.0 / (1 << BITS)
+        likely = ((1 - unequal / MINIMA) - chance) / (1 - chance) >= percent / 100 - MARGIN
+        likely &= la[:, None] != lb[None, :]
+        r, c = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+        if not len(r):
+            continue
+        # exact intersections of all these pairs: a product of incidence matrices over the items that both sides hold
+        one, two = [np.asarray(v) for v in a["items"].iloc[r]], [np.asarray(v) for v in b["items"].iloc[c]]
+        shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+        met = np.zeros((len(r), len(c)), np.float32)
+        for at in range(0, len(shared), ITEMS):
+            part = shared[at : at + ITEMS]
+            met += _incidence(one, part) @ _incidence(two, part).T
+        union = np.array([len(v) for v in one])[:, None] + np.array([len(v) for v in two])[None, :] - met
+        linked = (met * 100 >= union * percent) & likely[np.ix_(r, c)]
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            p, q = root(int(la[r[i]])), root(int(lb[c[j]]))
+            if p != q:
+                joined[max(p, q)] = min(p, q)
+                out.append((int(a.rep.iloc[r[i]]), int(b.rep.iloc[c[j]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _incidence(sets: list[np.ndarray], items: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(items)), np.float32)
+    for i, s in enumerate(sets):
+        out[i, np.searchsorted(items, s[np.isin(s, items, assume_unique=True)])] = 1
+    return out
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
@@ -193,49 +251,76 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    mark = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
+    buckets = placed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members"), mark(1).alias("m1"), mark(2).alias("m2")).where("members > 1")
+    # near copies fall together in most bands: of buckets with the same members one is looked at
+    buckets = buckets.groupBy("pivot", "members", "m1", "m2").agg(F.min("key").alias("key")).drop("m1", "m2")
     members = scratch.save(placed.join(buckets, "key"), "members")
-    signatures = classes.groupBy("rep").agg(F.first("signature").alias("signature"))
-    sign = lambda side: signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"sign_{side}"))
-    floor = percent / 100 - MARGIN
-
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(sign("a"), "a").join(sign("b"), "b").where(estimate("sign_a", "sign_b") >= floor).select("a", "b")
-    star = scratch.save(star, "star")
     needed = members.select(F.col("rep").alias("id")).distinct()
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     sets = full_sets(text.join(needed, "id", "left_semi"), words)
     sets = scratch.save(sets.groupBy("id").agg(F.first("items").alias("items")), "sets")
-    links = scratch.save(_confirmed(star, sets, percent), "links-star")
-    labels = components(links, scratch, "first")
-
-    # what the stars leave open: members outside the component of their bucket's smallest, against the bucket
-    at = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    at = at.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
-    at = scratch.save(at.withColumn("pivot_label", F.coalesce("pivot_label", "pivot")).where("rep <> pivot"), "open")
-    outside = at.where("label <> pivot_label")
-    sizes = outside.groupBy("key").agg(F.count("*").alias("strays"), F.first("members").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    sizes = sizes.where("size - 1 > strays or l0 <> l1")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sizes = sizes.select("key", blocks("strays").alias("rows_in"), blocks("size").alias("columns_in"))
+    signatures = classes.groupBy("rep").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    sign = lambda side: signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"sign_{side}"), F.col("n").alias(f"n_{side}"))
+    # sets whose sizes differ too much can't reach the threshold
+    sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate("sign_a", "sign_b") >= percent / 100 - MARGIN)
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        likely = scratch.save(pairs.join(sign("a"), "a").join(sign("b"), "b").where(sized).select("a", "b"), f"likely-{name}")
+        return scratch.save(_confirmed(likely, sets, percent), f"links-{name}")
+
+    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    labels = components(links_of(star, "star"), scratch, "star")
+
+    def extended(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Labels after further links; components so far are contracted, so only what is new is searched."""
+        named = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        upper = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        joined = components(upper.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), scratch, name)
+        fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", "label")
+        moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
+        return scratch.save(moved.select("node", F.coalesce("final", "label").alias("label")).unionByName(fresh), f"{name}-labels")
+
+    def still_open(labels: DataFrame, name: str) -> DataFrame:
+        """Members of buckets of three and more that hold several components."""
+        at = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        at = at.select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
+        several = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        return scratch.save(at.join(several, "key", "left_semi"), f"open-{name}")
+
+    # drawn pivots join what the smallest member does not: a few for each bucket and round, one pair for each member
+    for turn in range(1, ROUNDS + 1):
+        at = still_open(labels, str(turn))
+        if at.isEmpty():
+            break
+        draw = F.xxhash64("rep", F.lit(turn))
+        drawn = at.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("salt")).agg(F.min_by(F.struct("rep", "label"), draw).alias("p"))
+        drawn = drawn.select("key", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        pairs = at.join(drawn, "key").where("label <> pivot_label")
+        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        labels = extended(labels, links_of(pairs, str(turn)), f"round{turn}")
+
+    # what is left: members outside the commonest component of their bucket, against the whole bucket, in blocks; small
+    # buckets share a block
+    at = still_open(labels, "last")
+    common = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = common.select("key", "common", "size", blocks(F.col("size") - F.col("most")).alias("rows_in"), blocks(F.col("size")).alias("columns_in"))
+    bins = max(1, at.count() // BLOCK)
+    large = F.col("size") > BLOCK
     spot = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = outside.join(sizes, "key").join(sign("rep"), "rep")
-    left = left.select("key", spot(1, "rows_in").alias("i"), upto("columns_in").alias("j"), F.col("rep").alias("a"), F.col("label").alias("la"), F.col("sign_rep").alias("sign_a"))
-    right = at.join(sizes, "key").join(sign("rep"), "rep")
-    right = right.select("key", spot(2, "columns_in").alias("j"), upto("rows_in").alias("i"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("sign_rep").alias("sign_b"))
-    cross = left.join(right, ["key", "i", "j"]).where((F.col("la") != F.col("lb")) & (estimate("sign_a", "sign_b") >= floor))
-    cross = scratch.save(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-    more = scratch.save(_confirmed(cross, sets, percent), "links-cross")
-    # components of the first round are contracted, so the second round sees only what is new
-    named = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-    upper = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    upper = upper.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    joined = components(upper, scratch, "second").select(F.col("node").alias("label"), F.col("label").alias("final"))
-
-    reached = classes.select(*digest, "rep", "rows").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    reached = reached.join(joined, "label", "left").select(*digest, "rows", F.coalesce("final", "label").alias("component"))
-    reached = scratch.save(reached, "reached")
+    spread = at.join(shape, "key").join(signatures, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    spread = spread.withColumn("group", F.when(large, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins))))
+    sent = [F.col(c).alias(c) for c in ("group", "i", "j", "key", "rep", "label", "signature", "items")]  # sides with columns of their own
+    left = spread.where("label <> common").withColumn("i", spot(1, "rows_in")).withColumn("j", upto("columns_in")).select(*sent)
+    right = spread.withColumn("j", spot(2, "columns_in")).withColumn("i", upto("rows_in")).select(*sent)
+    where = ["group", "i", "j"]
+    cross = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(lambda x, y: joining_links(x, y, percent), "a long, b long")
+    labels = extended(labels, scratch.save(cross, "links-cross"), "cross")
+
+    reached = classes.select(*digest, "rep", "rows").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    reached = scratch.save(reached.select(*digest, "rows", F.coalesce("label", "rep").alias("component")), "reached")
     linked = join_groups(usable.select("id", *digest), reached, digest, "rows", total)
     others = sketch.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     return linked.select("id", "n_shingles", "component").unionByName(others)
