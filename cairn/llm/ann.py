@@ -6,7 +6,7 @@ small network (one hidden layer) learns, for a vector, the parts its neighbours
 probable part and routes every query to several most probable parts, whose rows are all reranked by exact inner
 products. How many parts a query visits is set on the sample, so that they hold ``COVER`` of the true neighbours.
 
-Scale: the number of parts follows the rows (up to ``MOST_PARTS``); a part's rows and queries are dealt into blocks of
+Scale: the number of parts follows the root of the rows (up to ``MOST_PARTS``); a part's rows and queries are dealt into blocks of
 bounded size, so no task holds a whole part. Equal vectors are one entry with its smallest ids (k + 1 of them can
 appear in a result at most, so none is lost), and equal queries are searched once.
 
@@ -30,7 +30,8 @@ from .common import Scratch, join_groups
 K = 20
 SAMPLE = 6144
 NEIGHBOURS = 10
-ROWS_PER_PART, MOST_PARTS = 1024, 256
+#: Parts are the square root of the rows over this, up to a bound that the sample can still teach.
+PARTS_UNDER_ROOT, MOST_PARTS = 8, 256
 COVER = 0.95
 HIDDEN = 128
 STEPS = 300
@@ -107,7 +108,7 @@ class Router:
 
 def fit_router(x: np.ndarray, rows: int, seed: int = 5) -> Router:
     """x: the sampled vectors; rows: distinct vectors of the whole table."""
-    parts = int(min(MOST_PARTS, max(1, -(-rows // ROWS_PER_PART)), max(1, len(x) // (2 * NEIGHBOURS))))
+    parts = int(min(MOST_PARTS, max(1, round(rows**0.5 / PARTS_UNDER_ROOT)), max(1, len(x) // (2 * NEIGHBOURS))))
     rng, d = np.random.default_rng(seed), x.shape[1]
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
@@ -154,7 +155,7 @@ def valid(rows: DataFrame) -> DataFrame:
 
 
 def block_search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k + 1 best (id, score) of one block of rows for each query of a block."""
+    """The k + 1 best (cost, id) of one block of rows for each query of a block; cost is the negated score."""
     out = []
     if len(rows) and len(queries):
         x, q = np.array(rows.vec.tolist(), np.float64), np.array(queries.vec.tolist(), np.float64)
@@ -164,8 +165,8 @@ def block_search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
         for i, (query, found) in enumerate(zip(queries["query"], best, strict=True)):
             exact = (x[found] * q[i]).sum(axis=1)  # one order of summation for every row, so equal vectors tie
             top = sorted(((-s, int(v)) for s, j in zip(exact, found, strict=True) for v in ids[j]))[: k + 1]
-            out += [(query, v, -s) for s, v in top]
-    return pd.DataFrame(out, columns=["query", "id", "score"])
+            out.append((query, top))
+    return pd.DataFrame(out, columns=["query", "found"])
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -204,12 +205,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_i
     left = placed.join(shape, "part").select("part", spot(F.col("ids")[0], "row_blocks").alias("i"), upto("query_blocks").alias("j"), "vec", "ids")
     right = routed.join(shape, "part").select("part", upto("row_blocks").alias("i"), spot(F.col("query"), "query_blocks").alias("j"), "vec", "query")
     key = ["part", "i", "j"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: block_search(a, b, k), "query long, id long, score double")
-    best = W.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("found"))
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: block_search(a, b, k), "query long, found array<struct<cost: double, id: long>>")
+    # merged by groups of lists first, so that no list grows with the number of blocks
+    best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")
+    some = found.groupBy("query", F.pmod(F.spark_partition_id(), F.lit(16)).alias("some")).agg(best())
+    lists = some.groupBy("query").agg(best())
     lists = scratch.save(queries.join(lists, "query").select("vec", "askers", "found"), "lists")
     answered = join_groups(asked.select(F.col("id").alias("query_id"), "vec"), lists, ["vec"], "askers", asked.count())
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     ranked = answered.where("found is not null").select("query_id", F.posexplode(others).alias("pos", "f"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias("id"), F.col("f.score").alias("score"))
+    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias("id"), (F.lit(0.0) - F.col("f.cost")).alias("score"))
