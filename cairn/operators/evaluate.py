@@ -55,7 +55,7 @@ def bootstrap_means(values: np.ndarray, reps: int = REPS, seed: int = SEED) -> t
 
 
 def bootstrap_clusters(sums: np.ndarray, counts: np.ndarray, reps: int = CLUSTER_REPS, seed: int = SEED) -> tuple[float, float, float]:
-    """Ratio of sums over resampled clusters; under MIN_CLUSTERS clusters there is a mean but no interval."""
+    """Ratio of sums over resampled clusters; under MIN_CLUSTERS clusters there is a mean but no interval (null in a table)."""
     if not len(sums):
         return (np.nan,) * 3
     mean = float(sums.sum() / counts.sum())
@@ -122,7 +122,8 @@ def paired_summary(diffs: DataFrame) -> DataFrame:
 
 
 def excludes_zero(lo: Column, hi: Column) -> Column:
-    return F.when(F.isnan(lo) | F.isnan(hi), "n/a").when((lo > 0) | (hi < 0), "yes").otherwise("no")
+    undefined = lo.isNull() | hi.isNull() | F.isnan(lo) | F.isnan(hi)
+    return F.when(undefined, "n/a").when((lo > 0) | (hi < 0), "yes").otherwise("no")
 
 
 def rank_stability(rows: DataFrame, group: str) -> DataFrame:
