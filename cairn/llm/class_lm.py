@@ -260,10 +260,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield done
 
     kind = dict(rows.dtypes)["id"]
-    scored = rows.withColumn("key", F.monotonically_increasing_id()).mapInPandas(
-        score, f"key long, id {kind}, held_out boolean, n_tokens long, found long, logs double, terms double, rare array<binary>, times array<long>"
+    keyed = rows.withColumn("key", F.monotonically_increasing_id()).withColumn("id", F.col("id").cast("string"))  # a null among numbers would make pandas round them
+    scored = keyed.mapInPandas(
+        score, "key long, id string, held_out boolean, n_tokens long, found long, logs double, terms double, rare array<binary>, times array<long>"
     )
-    scored = scratch.save(scored, "scored")
+    scored = scratch.save(scored.withColumn("id", F.col("id").cast(kind)), "scored")
     rare = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     tail = counts.table.where(F.col("c") < counts.least)
     met = rare.join(tail, "word").groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))

@@ -71,8 +71,7 @@ def digest_groups(rows: DataFrame, total: int) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 slot = int(pdf.part.iloc[0]) % FAN**rounds
-                ids = pdf.id.fillna(NO_ID).astype(np.int64) if pdf.id.isna().any() else pdf.id.astype(np.int64)
-                held.append((np.frombuffer(b"".join(pdf.digest), np.uint8).reshape(-1, 32), ids.to_numpy(), np.ones(len(pdf), np.int64), pdf.bytes.to_numpy(np.int64)))
+                held.append((np.frombuffer(b"".join(pdf.digest), np.uint8).reshape(-1, 32), pdf.id.to_numpy(np.int64), np.ones(len(pdf), np.int64), pdf.bytes.to_numpy(np.int64)))
                 n += len(pdf)
             if n >= RUN_ROWS:
                 yield pd.DataFrame(list(_pieces(slot, rounds, 1, _merged(*map(np.concatenate, zip(*held, strict=True))))))
@@ -93,7 +92,7 @@ def digest_groups(rows: DataFrame, total: int) -> DataFrame:
         keep = pd.Series(ids, dtype="Int64").mask(pd.Series(ids == NO_ID))
         return pd.DataFrame({"digest": [blob[i : i + 32] for i in range(0, len(blob), 32)], "keep_id": keep, "group_size": counts})
 
-    tree = rows.mapInPandas(runs, RUN_SCHEMA)
+    tree = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID))).mapInPandas(runs, RUN_SCHEMA)
     for turn in range(2, rounds + 1):
         tree = tree.groupBy("slot").applyInPandas(exchange(turn), RUN_SCHEMA)
     return tree.groupBy("slot").applyInPandas(leaves, "digest binary, keep_id long, group_size long")

@@ -88,8 +88,8 @@ def piece_table(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_c
                 out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(pieces_of(len(ids), capacity))]
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "crc"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(compute, "id long, piece int, start long, length long, crc long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))  # a null among numbers would make pandas round them
+    return rows.mapInPandas(compute, "id string, piece int, start long, length long, crc long").withColumn("id", F.col("id").cast("long"))
 
 
 # --- the search over the histogram ----------------------------------------------------------------------------
@@ -250,6 +250,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, nodes: int
             yield out
 
     placed = lined.join(runs, ["part", "length"])
-    return placed.select("id", "piece", "start", "length", "crc", "seq", "first", "before").mapInPandas(
-        place_all, "id long, piece int, start long, length long, crc long, sequence long, place long"
-    )
+    return placed.select(F.col("id").cast("string").alias("id"), "piece", "start", "length", "crc", "seq", "first", "before").mapInPandas(
+        place_all, "id string, piece int, start long, length long, crc long, sequence long, place long"
+    ).withColumn("id", F.col("id").cast("long"))

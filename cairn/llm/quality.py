@@ -71,8 +71,9 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for pdf in batches:
             yield pd.DataFrame({"id": pdf.id, "held_out": pdf.held_out, "x": [np.asarray(features(bytes(t)), np.float32) for t in pdf.text]})
 
-    rows = docs.select(F.col(id_col).alias("id"), (id_crc(id_col) % HELD_OUT_MOD == 0).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(compute, f"id {dict(docs.dtypes)[id_col]}, held_out boolean, x array<float>")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), (id_crc(id_col) % HELD_OUT_MOD == 0).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
+    made = rows.mapInPandas(compute, "id string, held_out boolean, x array<float>")  # as text, for a null among numbers would make pandas round them
+    return made.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
 
 
 @dataclass
@@ -152,7 +153,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             score = model.score(np.array(pdf.x.tolist(), np.float64).reshape(len(pdf), N_FEATURES))
             yield pd.DataFrame({"id": pdf.id, "held_out": pdf.held_out, "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
-    return table.mapInPandas(compute, f"id {dict(table.dtypes)['id']}, held_out boolean, score double, predicted int")
+    scored = table.withColumn("id", F.col("id").cast("string")).mapInPandas(compute, "id string, held_out boolean, score double, predicted int")
+    return scored.withColumn("id", F.col("id").cast(dict(table.dtypes)["id"]))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,5 +167,7 @@ def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
                 "score": above[:, 0], "predicted": (above[:, 0] >= threshold).astype(np.int32),
             })
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(compute, f"id {kind}, held_out boolean, expected_severity double, grade int, score double, predicted int")
+    scored = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(  # a null among numbers would make pandas round them
+        compute, "id string, held_out boolean, expected_severity double, grade int, score double, predicted int"
+    )
+    return scored.withColumn("id", F.col("id").cast(dict(rows.dtypes)["id"]))
