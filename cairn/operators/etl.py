@@ -108,9 +108,9 @@ def packed(text: Column, paragraph_break: str = r"\n{2,}", max_chars: int = MAX_
     return F.aggregate(pieces, first, step, close)
 
 
-def build_chunks(found: DataFrame, titles: DataFrame, paragraph_break: str = r"\n{2,}") -> DataFrame:
+def build_chunks(found: DataFrame, titles: DataFrame, paragraph_break: str = r"\n{2,}", max_chars: int = MAX_CHARS) -> DataFrame:
     """sections -> (paper_id, chunk_no, chunk_id, title, section, text); numbers run on through a paper's sections."""
-    pieces = found.select("paper_id", "section_no", "section", F.posexplode(packed(F.col("text"), paragraph_break)).alias("pos", "text"))
+    pieces = found.select("paper_id", "section_no", "section", F.posexplode(packed(F.col("text"), paragraph_break, max_chars)).alias("pos", "text"))
     number = F.row_number().over(W.partitionBy("paper_id").orderBy("section_no", "pos")) - 1
     numbered = pieces.withColumn("chunk_no", number.cast("long")).withColumn("chunk_id", F.concat("paper_id", F.lit("::"), "chunk_no"))
     return numbered.join(titles, "paper_id", "left").select("paper_id", "chunk_no", "chunk_id", "title", "section", "text")

@@ -45,11 +45,11 @@ def section_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH {_LINES_SQL}, {_HEAD_SQL}, {_SECT_SQL},
-  a AS (SELECT doc_id AS paper_id, -1 AS section_no, 'Abstract' AS section, substr(coalesce(text, ''), 1, 120) AS text FROM documents
+  a AS (SELECT doc_id AS paper_id, -1 AS section_no, 'Abstract' AS section, 'About paper ' || doc_id AS text FROM documents
     UNION ALL SELECT paper_id, section_no, section, text FROM sections WHERE section NOT IN ('Front matter', 'Abstract'))
   SELECT paper_id, count(*) AS n, min(section_no)::BIGINT AS first_no, sum(length(text))::BIGINT AS chars FROM a GROUP BY paper_id""")
 def abstract_override(spark: SparkSession, sf: str) -> DataFrame:
-    meta = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("abstract"))
+    meta = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("About paper "), "doc_id").alias("abstract"))
     both = etl.with_abstract(etl.sections(_blocks(spark, sf)).withColumn("section_no", F.col("section_no").cast("long")), meta)
     return both.groupBy("paper_id").agg(F.count("*").alias("n"), F.min("section_no").alias("first_no"), F.sum(F.length("text")).alias("chars"))
 
@@ -95,13 +95,13 @@ def pack_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", F.col("n").cast("long").alias("n"), F.length("piece").cast("long").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("digest"))
 
 
-@query(rf"""WITH {_LINES_SQL}, {_HEAD_SQL}, {_SECT_SQL}, s AS (SELECT * FROM sections WHERE length(text) <= 1800)
+@query(rf"""WITH {_LINES_SQL}, {_HEAD_SQL}, {_SECT_SQL}, s AS (SELECT * FROM sections)
   SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY section_no) - 1 AS chunk_no, paper_id || '::' || (row_number() OVER (PARTITION BY paper_id ORDER BY section_no) - 1) AS chunk_id, 'paper ' || paper_id AS title, section, md5(text) AS digest FROM s""")
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbering through a paper's sections (those of one chunk, so that SQL needs no packing)."""
-    found = etl.sections(_blocks(spark, sf)).where(F.length("text") <= etl.MAX_CHARS)
+    """Numbering through a paper's sections, at a chunk size that no section reaches, so that SQL needs no packing."""
+    found = etl.sections(_blocks(spark, sf))
     titles = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("paper "), "doc_id").alias("title"))
-    made = etl.build_chunks(found, titles)
+    made = etl.build_chunks(found, titles, max_chars=1 << 30)
     return made.select("paper_id", "chunk_no", "chunk_id", "title", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -42,15 +42,14 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
 
 
-@query(r"""WITH q AS (SELECT vec_id AS a, embedding::DOUBLE[] AS va FROM embeddings WHERE vec_id < 20),
+@query(r"""WITH q AS (SELECT vec_id AS a, embedding::DOUBLE[] AS va FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
   s AS (SELECT a, e.vec_id AS b, coalesce(list_inner_product(va, e.embedding::DOUBLE[]) / nullif(sqrt(list_inner_product(va, va)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0) AS c,
     e.label AS lb FROM q, embeddings e)
   SELECT a AS query, lb AS label, count(*) AS n, round(avg(c), 6) AS mean_cosine, round(max(c), 6) AS max_cosine FROM s WHERE a <> b GROUP BY a, lb""")
 def cosine_by_label(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine with the zero-length guard, averaged by label."""
     e = V.table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id") < V.N_QUERY_VECTORS).select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).withColumn("c", cosine(F.col("embedding"), F.col("qv")))  # at most N_QUERY_VECTORS rows
+    s = e.join(V.query_vectors(spark, sf).withColumnRenamed("vec", "qv"), F.col("vec_id") != F.col("query")).withColumn("c", cosine(F.col("embedding"), F.col("qv")))
     return s.groupBy("query", "label").agg(F.count("*").alias("n"), R6(F.avg("c")).alias("mean_cosine"), R6(F.max("c")).alias("max_cosine"))
 
 
@@ -263,7 +262,7 @@ def router_escalating(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.VECTORS_SQL.replace('questions q', '(SELECT item_id AS query FROM benchmark) q')},
-  a AS (SELECT c.chunk_idx, c.paper_id, v.vec FROM chunks c JOIN chunk_vectors v USING (chunk_idx) WHERE c.chunk_idx < 20),
+  a AS (SELECT c.chunk_idx, c.paper_id, v.vec FROM chunks c JOIN chunk_vectors v USING (chunk_idx) WHERE c.chunk_idx IN (SELECT item_id FROM benchmark)),
   s AS (SELECT a.chunk_idx AS source_idx, a.paper_id AS source_paper, b.chunk_idx, b.paper_id, b.text, list_inner_product(a.vec, v.vec) AS score FROM a, chunks b JOIN chunk_vectors v USING (chunk_idx) WHERE a.chunk_idx <> b.chunk_idx),
   r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s),
   k AS (SELECT * FROM r WHERE rank <= 60 AND paper_id <> source_paper AND length(text) >= 500)
@@ -271,7 +270,7 @@ def router_escalating(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_cross_paper(spark: SparkSession, sf: str) -> DataFrame:
     """The first of the 60 nearest chunks that belongs to another paper and is long enough; the cap comes before the filters."""
     chunks, vectors = V.chunks(spark, sf), V.chunk_vectors(spark, sf)
-    asked = vectors.where(F.col("chunk_idx") < V.N_QUERY_VECTORS).select(F.col("chunk_idx").alias("query"), "vec")
+    asked = vectors.withColumnRenamed("chunk_idx", "query").join(V.questions(spark, sf).select("query"), "query", "left_semi")
     near = rank.top_k(rank.dense_scores(vectors, asked).where("chunk_idx <> query"), 60)
     own = chunks.select(F.col("chunk_idx").alias("query"), F.col("paper_id").alias("source_paper"))
     fit = near.join(chunks.select("chunk_idx", "paper_id", F.length("text").alias("chars")), "chunk_idx").join(own, "query").where((F.col("paper_id") != F.col("source_paper")) & (F.col("chars") >= 500))

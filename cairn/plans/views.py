@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-N_QUERY_VECTORS = 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
