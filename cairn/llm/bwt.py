@@ -67,15 +67,16 @@ def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarra
     before, before_stride = np.concatenate([s.before for s in shards]), np.concatenate([s.before_stride for s in shards])
     n = len(before)
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.owner) for s in shards])
-    block = np.zeros(n, np.int64)
-    row = np.empty(n, np.int64)
+    block = np.zeros(n, np.int32)
+    row = np.empty(n, np.int32)
+    line = np.arange(n, dtype=np.int32)
     for m in [1] * (depth % STRIDE) + [STRIDE] * (depth // STRIDE):
-        row[np.argsort(interleave, kind="stable")] = np.arange(n)  # the next of its shard, for each place
+        row[np.argsort(interleave, kind="stable")] = line  # the next of its shard, for each place
         symbol = (before if m == 1 else before_stride)[row]
         order = np.argsort(symbol, kind="stable")
         symbol, block, interleave = symbol[order], block[order], interleave[order]
-        block = np.cumsum(np.r_[False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
-    row[np.argsort(interleave, kind="stable")] = np.arange(n)
+        block = np.cumsum(np.r_[False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])], dtype=np.int32)
+    row[np.argsort(interleave, kind="stable")] = line
     return row, block
 
 

@@ -2,7 +2,7 @@
 
 A byte goes if it is covered by a ``WIDTH``-byte string that also starts in a document with a smaller id. Windows of that
 width are dealt to buckets by the least hash among the ``GRAM``-byte grams they hold: equal windows share it, so every
-window meets all its equals. Neighbouring windows with one least hash travel as one context, the bytes they cover.
+window meets all its equals (grams are long enough that unrelated texts seldom share one). Neighbouring windows with one least hash travel as one context, the bytes they cover.
 
 1. Each part of the documents (by hash of id) tells each bucket which hashes it holds, once each.
 2. A bucket answers each part which of them lie in two documents or more.
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .bwt import least_by_window
 from .common import mix64, slices, text_or_empty
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 PART_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 18
 SHARDS = 4
 NO_ID = np.iinfo(np.int64).max
 
@@ -46,7 +46,7 @@ def least_hashes(buf: np.ndarray, width: int = WIDTH) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     words = np.lib.stride_tricks.as_strided(buf[: len(buf) // 8 * 8].view("<u8"), (len(buf) - 7,), (1,))
-    h = mix64(words[:-8] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mix64(words[8:]))
+    h = mix64(words[:-16] * np.uint64(0xC2B2AE3D27D4EB4F) + words[8:-8] * np.uint64(0x165667B19E3779F9) + words[16:] * np.uint64(0x27D4EB2F165667C5))
     reach, span = 1, width - GRAM + 1
     while 2 * reach <= span:
         h = np.minimum(h[:-reach], h[reach:])
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_or_empty(text_col).cast("binary")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty(text_col))), F.lit(0)).alias("n")).first().n
     bits = max(0, int(-(-total // PART_BYTES)) - 1).bit_length()
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).cast("int").alias("part"), F.col(id_col).cast("string").alias("id"), text.alias("text"))
     told = rows.groupBy("part").applyInPandas(lambda p: told_hashes(p, bits), "bucket long, part int, low binary, many binary")
     shared = told.groupBy("bucket").applyInPandas(shared_hashes, "part int, bucket long, low binary")
     sent = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(
@@ -290,8 +290,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = list(cleaned(d, told[told.low.notna()], told[told.spans.notna()], bits)) if len(d) else []
         if digest:
             out = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in out]
-        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-        return frame.astype({"id": "Int64"})
+        frame = pd.DataFrame([r[1:] for r in out], columns=["n_bytes", "n_removed", "n_spans", "kept"])
+        frame.insert(0, "id", pd.array([r[0] for r in out], "Int64"))
+        return frame
 
     kept = "string" if digest else "binary"
     return rows.groupBy("part").cogroup(both.groupBy("part")).applyInPandas(finish, f"id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
