@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups
+from .common import Scratch, hash_sample, join_groups
 
 K = 20
 SAMPLE = 6144
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_i
     asked = rows.where(F.col("id") % every == 0).select("id", "vec").distinct()
     queries = scratch.save(asked.groupBy("vec").agg(F.count("*").alias("askers"), F.min("id").alias("query")), "queries")
     n_rows = entries.count()
-    drawn = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("vec").collect()
+    drawn = hash_sample(entries.withColumn("first", F.col("ids")[0]), "first", 0, sample).select("vec").collect()
     x = np.array([r.vec for r in drawn], np.float64)
     router = fit_router(x, n_rows) if len(x) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
 

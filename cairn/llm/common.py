@@ -106,3 +106,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     met = rows.join(heavy, keys, "left")
     rest = met.where(F.col(size).isNull()).select(*rows.columns).join(light, keys, "left")
     return met.where(F.col(size).isNotNull()).unionByName(rest)
+
+
+def hash_sample(df: DataFrame, key: str, salt: int, n: int) -> DataFrame:
+    """The n rows that a hash of ``key`` draws first; the same rows however large the table's number of partitions.
+
+    Rows that can't be among them (their draw is over twice the share that is wanted) are left out before the sort, so
+    that no partition sends n rows of its own.
+    """
+    total, ends = df.count(), 1 << 40
+    drawn = df.withColumn("_draw", F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(ends)))
+    if total > 2 * n:
+        drawn = drawn.where(F.col("_draw") < ends * 2 * n // total)
+    return drawn.orderBy("_draw", key).limit(n).drop("_draw")

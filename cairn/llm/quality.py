@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, text_or_empty
+from .common import Scratch, hash_sample, id_crc, text_or_empty
 
 #: Positives, and unlabelled rows, that the fit takes at most.
 SAMPLE = 10_000
@@ -137,7 +137,7 @@ def train(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> PuModel:
     marked = rows.join(votes, rows.id == votes.doc_id)
     known = marked.agg(F.avg(F.col("good").cast("double")).alias("prior"), F.count("*").alias("n")).first()
     prior = known.prior if known.n else 0.5
-    take = lambda df, salt: np.array([r.x for r in df.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(sample).select("x").collect()], np.float64)
+    take = lambda df, salt: np.array([r.x for r in hash_sample(df, "id", salt, sample).select("x").collect()], np.float64)
     positive, unlabelled = take(marked.where("good"), 1), take(rows, 2)
     return fit_pu(positive, unlabelled, min(max(float(prior), 0.01), 0.99))
 

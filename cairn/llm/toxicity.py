@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, text_or_empty
+from .common import Scratch, hash_sample, id_crc, text_or_empty
 
 SAMPLE = 20_000
 TERMS = 2048
@@ -128,7 +128,7 @@ def sparse(found: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.nda
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, terms: int = TERMS) -> tuple[OrdinalModel, list[str]]:
     """docs (id, text, held_out); learns only from rows that are not held out."""
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = votes.where(id_crc("doc_id") % HELD_OUT_MOD != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(votes.where(id_crc("doc_id") % HELD_OUT_MOD != 0), "doc_id", 0, sample)
     rows = docs.join(F.broadcast(chosen), docs.id == chosen.doc_id).where(~F.col("held_out"))  # at most `sample` rows
     texts = scratch.save(rows.dropDuplicates(["id"]).select("text", "toxic"), "sample")
     size = {bool(r.toxic): int(r.n) for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
