@@ -12,7 +12,7 @@ against a few drawn members, ``ROUNDS`` times: one pair each. What is left to co
 component of their bucket, against the bucket. Those comparisons run in blocks on the full sets, and only links that join
 components become rows.
 
-A link at the threshold is missed by all bands with probability (1 - t^ROWS)^BANDS: 6e-11 at 0.85, 5e-8 at 0.8.
+A link at the threshold is missed by all bands with probability (1 - t^ROWS)^BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 
 Edge cases: null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of the whole sequence; rows of one id are one node; a null id is linked with nothing and kept; an empty table
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_groups, mix64, slices, text_or_empty
 from .graph import components
 
-MINIMA, BANDS, ROWS, BITS = 256, 32, 4, 2
+MINIMA, BANDS, ROWS, BITS = 256, 24, 4, 2
 LANES = 64 // BITS
 MARGIN = 0.15
 ROUNDS, PIVOTS = 2, 4
-BLOCK, ITEMS = 512, 1 << 14
+BLOCK, ITEMS = 2048, 1 << 13
 SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _IS_WORD = np.ones(256, bool)
@@ -121,7 +121,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return key
 
 
-SKETCH = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature array<long>"
+SKETCH = "id string, n_shingles long, set_a long, set_b long, bands array<long>, signature array<long>"
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
             for a, b in slices(pdf.text.map(len).to_numpy(), SLICE_BYTES):
                 sets = shingle_sets(list(pdf.text[a:b]), words, powers)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                out = pd.DataFrame({"id": pdf.id[a:b].astype("Int64").array, "n_shingles": [len(s) for s in sets]})
+                out = pd.DataFrame({"id": pdf.id[a:b].array, "n_shingles": [len(s) for s in sets]})
                 out["set_a"] = [int(np.sum(s, dtype=np.uint64).astype(np.int64)) for s in sets]
                 out["set_b"] = [int(np.bitwise_xor.reduce(mix64(s + BASE)).astype(np.int64)) if len(s) else 0 for s in sets]
                 keys, signature = [None] * len(sets), [None] * len(sets)
@@ -144,8 +144,8 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 out["bands"], out["signature"] = keys, signature
                 yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(compute, SKETCH)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))  # a null among numbers would make pandas round them
+    return rows.mapInPandas(compute, SKETCH).withColumn("id", F.col("id").cast("long"))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
