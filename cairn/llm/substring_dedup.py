@@ -169,12 +169,22 @@ def sent_contexts(docs: pd.DataFrame, shared: pd.DataFrame, bits: int) -> pd.Dat
     return pd.DataFrame(out, columns=["bucket", "part", "hashes", "sizes", "data", "lows", "highs", "numbers"])
 
 
-def merged_windows(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
-    """Least id of each window of each string, over the transforms of up to SHARDS shards."""
+def merged_windows(strings: list[bytes], least: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Runs (first window, end, least id) of each string's windows, over the transforms of up to SHARDS shards."""
     bounds = np.linspace(0, len(strings), min(SHARDS, len(strings)) + 1).astype(int)
     pairs = list(zip(bounds[:-1], bounds[1:], strict=True))
     found = least_by_window([strings[a:b] for a, b in pairs], [least[a:b] for a, b in pairs], WIDTH)
-    return [x for shard in found for x in shard]
+    ids = [x for shard in found for x in shard]
+    flat = np.concatenate(ids)
+    starts = np.cumsum([len(x) for x in ids]) - [len(x) for x in ids]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    new[starts] = True
+    cut = np.flatnonzero(new)
+    owner = np.searchsorted(starts, cut, "right") - 1
+    out: list[list[tuple[int, int, int]]] = [[] for _ in strings]
+    for w, a, b, low in zip(owner.tolist(), (cut - starts[owner]).tolist(), (np.r_[cut[1:], len(flat)] - starts[owner]).tolist(), flat[cut].tolist(), strict=True):
+        out[w].append((a, b, low))
+    return out
 
 
 def answered_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +205,7 @@ def answered_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
         asked.append(own)
     order = sorted(range(len(least)), key=[h for h, _ in entries].__getitem__)
     keys, low_ids = list(entries), np.array(least, np.int64)
-    windows: dict[int, np.ndarray] = {}  # only of contexts that differ from another under their hash
+    windows: dict[int, list[tuple[int, int, int]]] = {}  # only of contexts that differ from another under their hash
     batch: list[int] = []
     size = 0
 
@@ -224,13 +234,12 @@ def answered_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     for part, own, highs, numbers in zip(pdf.part, asked, pdf.highs, pdf.numbers, strict=True):
         spans = []
         for number, context, high in zip(np.frombuffer(numbers, np.uint32).tolist(), own, np.frombuffer(highs, np.int64).tolist(), strict=True):
-            ids = windows.get(context)
-            if ids is None:
+            runs = windows.get(context)
+            if runs is None:
                 if least[context] < high:
                     spans.append((number, 0, len(keys[context][1]) - WIDTH + 1, least[context]))
                 continue
-            cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            spans += [(number, a, b, low) for a, b, low in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], ids[cut].tolist(), strict=True) if low < high]
+            spans += [(number, a, b, low) for a, b, low in runs if low < high]
         if spans:
             out.append((int(part), np.array(spans, np.int64).tobytes()))
     return pd.DataFrame(out, columns=["part", "spans"])
