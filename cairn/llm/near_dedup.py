@@ -183,12 +183,22 @@ def joining_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.D
             x = joined[x]
         return x
 
+    def by_key(side: pd.DataFrame) -> dict[int, np.ndarray]:
+        """Row numbers of each bucket."""
+        if not len(side):
+            return {}
+        keys = np.concatenate([np.asarray(k, np.int64) for k in side["keys"]])
+        rows = np.repeat(np.arange(len(side)), [len(k) for k in side["keys"]])
+        order = np.argsort(keys, kind="stable")
+        found, at = np.unique(keys[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(rows[order], at[1:]), strict=True))
+
     out = []
-    sides = right.groupby("key").indices
-    for key, rows in left.groupby("key").indices.items():
-        a, b = left.iloc[rows], right.iloc[sides.get(key, np.zeros(0, int))]
-        if not len(b):
+    columns = by_key(right)
+    for key, rows in by_key(left).items():
+        if key not in columns:
             continue
+        a, b = left.iloc[rows], right.iloc[columns[key]]
         la, lb = a.label.to_numpy(), b.label.to_numpy()
         x, y = np.array(a.signature.tolist(), np.int64).view(np.uint64), np.array(b.signature.tolist(), np.int64).view(np.uint64)
         unequal = np.zeros((len(a), len(b)), np.int64)
@@ -284,7 +294,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def still_open(labels: DataFrame, name: str) -> DataFrame:
         """Members of buckets of three and more that hold several components."""
         at = members.where("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.select("key", "rep", "members", F.coalesce("label", "rep").alias("label"))
+        at = at.select("key", "rep", "pivot", "members", F.coalesce("label", "rep").alias("label"))
         several = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
         return scratch.save(at.join(several, "key", "left_semi"), f"open-{name}")
 
@@ -296,28 +306,35 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         draw = F.xxhash64("rep", F.lit(turn))
         drawn = at.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("salt")).agg(F.min_by(F.struct("rep", "label"), draw).alias("p"))
         drawn = drawn.select("key", F.col("p.rep").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        pairs = at.join(drawn, "key").where("label <> pivot_label")
+        pairs = at.drop("pivot").join(drawn, "key").where("label <> pivot_label")
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         labels = extended(labels, links_of(pairs, str(turn)), f"round{turn}")
 
-    # what is left: members outside the commonest component of their bucket, against the whole bucket, in blocks; small
-    # buckets share a block
+    # what is left: members outside the commonest component of their bucket, against the whole bucket. Large buckets are cut
+    # into blocks; small ones share a group by their smallest member, so that a set travels once for all buckets it is in
     at = still_open(labels, "last")
     common = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("size"), F.max("n").alias("most"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     shape = common.select("key", "common", "size", blocks(F.col("size") - F.col("most")).alias("rows_in"), blocks(F.col("size")).alias("columns_in"))
+    spread = at.join(shape, "key")
+    stray, large = F.col("label") != F.col("common"), F.col("size") > BLOCK
     bins = max(1, at.count() // BLOCK)
-    large = F.col("size") > BLOCK
     spot = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spread = at.join(shape, "key").join(signatures, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    spread = spread.withColumn("group", F.when(large, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins))))
-    sent = [F.col(c).alias(c) for c in ("group", "i", "j", "key", "rep", "label", "signature", "items")]  # sides with columns of their own
-    left = spread.where("label <> common").withColumn("i", spot(1, "rows_in")).withColumn("j", upto("columns_in")).select(*sent)
-    right = spread.withColumn("j", spot(2, "columns_in")).withColumn("i", upto("rows_in")).select(*sent)
+
+    def side(rows: DataFrame, i: Column, j: Column) -> DataFrame:
+        cut = rows.where(large).withColumn("i", i).withColumn("j", j).select(F.col("key").alias("group"), "i", "j", "rep", "label", F.array("key").alias("keys"))
+        whole = rows.where(~large).groupBy(F.pmod(F.xxhash64("pivot"), F.lit(bins)).alias("group"), "rep").agg(F.first("label").alias("label"), F.collect_list("key").alias("keys"))
+        every = cut.unionByName(whole.select("group", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "label", "keys"))
+        held = every.join(signatures.drop("n"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        return held.select(*[F.col(c).alias(c) for c in ("group", "i", "j", "rep", "label", "signature", "items", "keys")])  # columns of its own
+
     where = ["group", "i", "j"]
+    left = side(spread.where(stray), spot(1, "rows_in"), upto("columns_in"))
+    right = side(spread, upto("rows_in"), spot(2, "columns_in"))
     cross = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(lambda x, y: joining_links(x, y, percent), "a long, b long")
     labels = extended(labels, scratch.save(cross, "links-cross"), "cross")
+    scratch.drop("sets")
 
     reached = classes.select(*digest, "rep", "rows").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reached = scratch.save(reached.select(*digest, "rows", F.coalesce("label", "rep").alias("component")), "reached")
