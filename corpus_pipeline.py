@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written as Parquet in the shared folder and read again."""
-    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch, before = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), ""
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
