@@ -268,7 +268,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = scratch.save(placed.join(buckets, "key"), "members")
     needed = members.select(F.col("rep").alias("id")).distinct()
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    sets = full_sets(text.join(needed, "id", "left_semi"), words)
+    sets = full_sets(text.join(needed.hint("merge"), "id", "left_semi"), words)  # ids grow with the input: shuffled at every size
     sets = scratch.save(sets.groupBy("id").agg(F.first("items").alias("items")), "sets")
     signatures = classes.groupBy("rep").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     sign = lambda side: signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"sign_{side}"), F.col("n").alias(f"n_{side}"))
