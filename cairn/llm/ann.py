@@ -123,7 +123,7 @@ def fit_router(x: np.ndarray, rows: int, seed: int = 5) -> Router:
     theta = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (2 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for t in range(1, STEPS + 1):
-        own = rng.integers(0, len(x), 2048)
+        own = rng.integers(0, len(x), min(len(x), 1024))
         a = unit[own]
         h = np.maximum(a @ theta[0] + theta[1], 0)
         z = h @ theta[2] + theta[3]
