@@ -136,3 +136,38 @@ def test_exchange_raises_the_likelihood():
 
 def test_lm_empty(spark, no_docs):
     assert class_lm.score_texts(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("head", [1 << 17, 900])
+def test_lm_clusters_every_frequent_word(spark, monkeypatch, head):
+    """Words of two kinds that take turns, with endings that say nothing of the kind: all with a count over the limit are told apart, beyond the 768."""
+    monkeypatch.setattr(class_lm, "HEAD_WORDS", head)
+    rng = np.random.default_rng(0)
+    words = [[f"{kind}{i}x" for i in range(600)] for kind in "ab"]
+    # the first 300 of each kind are the more frequent ones
+    share = np.where(np.arange(600) < 300, 2.0, 1.0) / 900
+    docs = [(i, " ".join(words[k % 2][j] for k, j in enumerate(rng.choice(600, 400, p=share)))) for i in range(1400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = df.selectExpr("cast(text as binary) text")
+    scratch = class_lm.Scratch(spark, "test")
+    counts = class_lm.word_counts(rows, scratch)
+    assert counts.clustered == 1200 and len(counts.tail) == (0 if head > 1200 else 1200 - counts.n_head)
+    coder = spark.sparkContext.broadcast(class_lm.Coder(counts.head, counts.n_head, counts.tail))
+    model = class_lm.cluster(rows, counts, coder, scratch, classes=3)
+    of = [{int(model.own[coder.value([w.encode()])[1][0]]) for w in kind} for kind in words]
+    assert len(of[0]) == len(of[1]) == 1 and of[0] != of[1]
+
+
+def test_many_words_step_as_one():
+    """The step of many words is that of the one-at-a-time exchange, by the likelihood itself."""
+    rng = np.random.default_rng(2)
+    b, classes = rng.integers(0, 9, (30, 30)), 5
+    own = np.r_[rng.integers(1, classes, 29), 0]
+    member = np.eye(classes)[own]
+    got = class_lm.best_classes(member.T @ b @ member, (b @ member)[:29], (b.T @ member)[:29], np.diag(b)[:29], own[:29])
+    for w in range(29):
+        gains = []
+        for k in range(1, classes):
+            m = np.eye(classes)[np.r_[own[:w], k, own[w + 1 :]]]
+            gains.append(class_lm.likelihood(m.T @ b @ m))
+        assert gains[got[w] - 1] == pytest.approx(max(gains))
