@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -223,3 +224,39 @@ def sampling_pool(chunks: DataFrame, split: Column, wanted: str, seed: int, min_
     """Long chunks of a split in a drawn order that the seed fixes."""
     pool = chunks.where((F.length("text") >= min_chars) & (F.col("section") != "Front matter") & (split == wanted))
     return pool.withColumn("draw", F.xxhash64("chunk_id", F.lit(seed)))
+
+
+def _best_of_block(vectors: pd.DataFrame, sources: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of one block for each source of a block: by score to 9 places, then index; all ties at the cut are looked at."""
+    out = []
+    if len(vectors) and len(sources):
+        ids = vectors.chunk_idx.to_numpy(np.int64)
+        scores = np.round(np.array(sources.own.tolist(), np.float64) @ np.array(vectors.vec.tolist(), np.float64).T, 9)
+        for query, own in zip(sources["query"], scores, strict=True):
+            least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+            kept = np.flatnonzero(own >= least)
+            kept = kept[np.lexsort((ids[kept], -own[kept]))][:k]
+            out.append(pd.DataFrame({"query": query, "chunk_idx": ids[kept], "score": own[kept]}))
+    return pd.concat(out) if out else pd.DataFrame({"query": [], "chunk_idx": [], "score": []})
+
+
+def nearest_cross_paper(chunks: DataFrame, vectors: DataFrame, split: Column, k: int = 60, min_chars: int = MIN_CHARS, block: int = 2048) -> DataFrame:
+    """(source_idx, neighbour_idx, rank) of every chunk of the sampling pools: the first of its ``k`` nearest that is of another
+    paper, of the same split and long enough. The chunk itself takes a place among the k, and the cut comes before the filters.
+
+    The search is exhaustive, in blocks of about ``block`` rows: its products grow with the square of the chunks, its rows
+    with chunks times blocks.
+    """
+    known = chunks.select("chunk_idx", "paper_id", split.alias("split"), (F.length("text") >= min_chars).alias("long"), (F.col("section") != "Front matter").alias("body"))
+    pool = known.where("long and body")
+    blocks = max(1, -(-vectors.count() // block))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    upto = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = vectors.select(spot("chunk_idx").alias("i"), upto.alias("j"), "chunk_idx", "vec")
+    right = vectors.join(pool.select("chunk_idx"), "chunk_idx", "left_semi").select(upto.alias("i"), spot("chunk_idx").alias("j"), F.col("chunk_idx").alias("query"), F.col("vec").alias("own"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: _best_of_block(a, b, k), "query long, chunk_idx long, score double")
+    order = W.partitionBy("query").orderBy(F.col("score").desc(), "chunk_idx")
+    near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    own = pool.select(F.col("chunk_idx").alias("query"), F.col("paper_id").alias("source_paper"), F.col("split").alias("source_split"))
+    fit = near.join(known.where("long"), "chunk_idx").join(own, "query").where("chunk_idx <> query and paper_id <> source_paper and split = source_split")
+    return fit.groupBy(F.col("query").alias("source_idx")).agg(F.min_by("chunk_idx", "rank").alias("neighbour_idx"), F.min("rank").cast("long").alias("rank"))

@@ -172,3 +172,16 @@ def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""WITH d AS (SELECT *, source AS k FROM documents) SELECT doc_id AS chunk_idx FROM d WHERE length(coalesce(text, '')) >= 500 AND {_SPLIT_OF} = 'test'""")
 def sampling_pool(spark: SparkSession, sf: str) -> DataFrame:
     return P.sampling_pool(V.chunks(spark, sf), paper_split(F.col("paper_id")), "test", 0).select("chunk_idx")
+
+
+@query(rf"""WITH {V.CHUNKS_SQL}, {V.VECTORS_SQL.replace('questions q', '(SELECT item_id AS query FROM benchmark) q')},
+  w AS (SELECT chunk_idx, paper_id, section, length(text) AS chars, {_SPLIT_OF} AS split FROM (SELECT *, paper_id AS k FROM chunks)),
+  a AS (SELECT w.*, v.vec FROM w JOIN chunk_vectors v USING (chunk_idx) WHERE chars >= 500 AND section <> 'Front matter'),
+  s AS (SELECT a.chunk_idx AS source_idx, v.chunk_idx, list_inner_product(a.vec, v.vec) AS score FROM a, chunk_vectors v),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s),
+  n AS (SELECT r.* FROM r JOIN a ON a.chunk_idx = r.source_idx JOIN w ON w.chunk_idx = r.chunk_idx
+    WHERE rank <= 60 AND r.chunk_idx <> source_idx AND w.paper_id <> a.paper_id AND w.split = a.split AND w.chars >= 500)
+  SELECT source_idx, arg_min(chunk_idx, rank) AS neighbour_idx, min(rank) AS rank FROM n GROUP BY source_idx""")
+def nearest_cross_paper_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour of every chunk of the sampling pools, of the same split (``nearest_cross_paper`` asks for the benchmark's ids, in any split)."""
+    return P.nearest_cross_paper(V.chunks(spark, sf), V.chunk_vectors(spark, sf), paper_split(F.col("paper_id")))
