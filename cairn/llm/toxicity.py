@@ -47,6 +47,11 @@ def terms_of(word: str) -> list[str]:
     return [word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + " "]
 
 
+def openings_of(terms: list[str]) -> set[str]:
+    """First letters of the words that may hold a term; words shorter than ``SHORTEST`` are whole."""
+    return {t.rstrip()[:SHORTEST] for t in terms}
+
+
 def term_hits(text: str, index: dict[str, int], openings: set[str]) -> tuple[Counter, int]:
     """Counts of the indexed terms, and the number of words that hold any."""
     counts: Counter = Counter()
@@ -135,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
     vocabulary = choose_terms(texts, size[True], size.get(False, 0), terms) if size.get(True) else []
     if not vocabulary:
         return OrdinalModel(np.zeros(0), np.full(GRADES, 60.0)), []
-    index, openings = {t: i for i, t in enumerate(vocabulary)}, {t[:SHORTEST] for t in vocabulary}
+    index, openings = {t: i for i, t in enumerate(vocabulary)}, openings_of(vocabulary)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,7 +160,7 @@ def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     """One row per document: id, held_out, expected_severity (0 to 3), grade (likeliest), score (P(grade >= 1)), predicted."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), (id_crc(id_col) % HELD_OUT_MOD == 0).alias("held_out"))
     model, vocabulary = train(rows, labels, Scratch(docs.sparkSession, "toxic"), sample, terms)
-    index, openings = {t: i for i, t in enumerate(vocabulary)}, {t[:SHORTEST] for t in vocabulary}
+    index, openings = {t: i for i, t in enumerate(vocabulary)}, openings_of(vocabulary)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -171,3 +171,13 @@ def test_many_words_step_as_one():
             m = np.eye(classes)[np.r_[own[:w], k, own[w + 1 :]]]
             gains.append(class_lm.likelihood(m.T @ b @ m))
         assert gains[got[w] - 1] == pytest.approx(max(gains))
+
+
+def test_whole_words_of_one_or_two_letters_are_met(spark):
+    terms = ["ab ", "毒 ", "long"]
+    counts, hits = toxicity.term_hits("AB abc 毒 b longer", {t: i for i, t in enumerate(terms)}, toxicity.openings_of(terms))
+    assert counts == {0: 1, 1: 1, 2: 1} and hits == 3
+    docs = spark.createDataFrame([(i, f"plain words{i % 7} {'zq' if i % 2 else 'no'} here") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], LABELS.replace(", text string", ""))
+    rows = toxicity.severity(docs, labels).collect()
+    assert all(r.predicted == r.id % 2 for r in rows)
