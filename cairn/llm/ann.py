@@ -36,7 +36,6 @@ COVER = 0.95
 HIDDEN = 128
 STEPS = 300
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-SPARE = 12
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -160,9 +159,12 @@ def block_search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     if len(rows) and len(queries):
         x, q = np.array(rows.vec.tolist(), np.float64), np.array(queries.vec.tolist(), np.float64)
         ids, rough = rows.ids.tolist(), q @ x.T
-        n = min(len(x), k + 1 + SPARE)
-        best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-        for i, (query, found) in enumerate(zip(queries["query"], best, strict=True)):
+        n = min(len(x), k + 1)
+        least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
+        # a bound on how far two orders of summation differ, so that every vector that may be among the best is kept
+        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        for i, query in enumerate(queries["query"]):
+            found = np.flatnonzero(rough[i] >= least[i] - slack[i])
             exact = (x[found] * q[i]).sum(axis=1)  # one order of summation for every row, so equal vectors tie
             top = sorted(((-s, int(v)) for s, j in zip(exact, found, strict=True) for v in ids[j]))[: k + 1]
             out.append((query, top))

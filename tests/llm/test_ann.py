@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cairn.llm import ann, queries
@@ -79,3 +80,11 @@ def test_query_recall(spark, sf):
     got, want = found(df.withColumnRenamed("vec_id", "id")), brute(rows)
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_many_ties_at_the_cut_go_to_the_smallest_ids():
+    """400 distinct vectors have the product 0 with the query; ids fall as rows go on, so that the smallest come last."""
+    vecs = [[0.0, float(i + 1), 1.0] for i in range(400)]
+    rows = pd.DataFrame({"vec": vecs, "ids": [[1000 - i] for i in range(400)]})
+    got = ann.block_search(rows, pd.DataFrame({"vec": [[1.0, 0.0, 0.0]], "query": [5]}), 20)
+    assert [v for _, v in got.found[0]] == list(range(601, 622))
