@@ -89,14 +89,14 @@ def wait_seconds(message: Column) -> Column:
 
 
 def review_mode(notes: Column) -> Column:
-    """The first ``review:`` tag of space separated notes; null without one."""
-    tags = F.filter(F.split(notes, " "), lambda t: t.startswith("review:"))
-    return F.substring(F.get(tags, F.lit(0)), len("review:") + 1, 1 << 20)
+    """The first ``review:`` tag of white space separated notes; null without one."""
+    tags = F.filter(words(notes), lambda t: t.startswith("review:"))
+    return F.regexp_replace(F.get(tags, F.lit(0)), r"^review:", "")
 
 
 def with_review_mode(notes: Column, mode: Column) -> Column:
     """Notes with older review tags removed and this one added."""
-    rest = F.filter(F.split(F.coalesce(notes, F.lit("")), " "), lambda t: (t != "") & ~t.startswith("review:"))
+    rest = F.filter(words(F.coalesce(notes, F.lit(""))), lambda t: ~t.startswith("review:"))
     return F.array_join(F.concat(rest, F.array(F.concat(F.lit("review:"), mode))), " ")
 
 

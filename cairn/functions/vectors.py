@@ -14,6 +14,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; one without length stays as it is."""
+    # lambda variables hold the vector and its length, as a column inside a lambda would be computed again for every element
+    divided = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.transform(F.array(a), lambda v: F.transform(F.array(norm(v)), lambda n: divided(v, n))[0])[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector has no length."""
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))

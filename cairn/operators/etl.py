@@ -27,8 +27,8 @@ def stripped(text: Column) -> Column:
 
 
 def dehyphenated(text: Column) -> Column:
-    """A word cut at a line's end is joined before a lower-case letter; other line ends become blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"-\n(?=[a-z])", ""), r"\n", " ")
+    """A word cut at a line's end is joined before a lower-case letter; other line ends, with the white space around them, become one blank."""
+    return F.regexp_replace(F.regexp_replace(text, r"-\n(?=[a-z])", ""), r"(?U)\s*\n\s*", " ")
 
 
 def clean_name(block: Column) -> Column:
@@ -130,4 +130,4 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.col("raw"), r"(?s)<[^>]*>", "")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    return pages.select("paper_id", F.posexplode(found).alias("block_no", "raw")).select("paper_id", F.col("block_no").cast("long").alias("block_no"), stripped(text).alias("text")).where("text <> ''")
+    return pages.select("paper_id", F.posexplode(found).alias("block_no", "raw")).select("paper_id", F.col("block_no").cast("long").alias("block_no"), dehyphenated(stripped(text)).alias("text")).where("text <> ''")

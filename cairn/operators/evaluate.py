@@ -36,7 +36,7 @@ def stratified(rows: DataFrame) -> DataFrame:
     """Each experiment over ALL and each question type, from one pass with grouping sets; types without rows don't appear."""
     routed = F.col("label").isin(*LABELS) & ~F.col("route_source").startswith("fixed:") & F.col("gold_route").isNotNull()
     report = rows.groupingSets([[F.col("experiment")], [F.col("experiment"), F.col("qtype")]], "experiment", "qtype").agg(
-        F.grouping("qtype").alias("_all"), F.count("*").alias("n"), F.avg("recall").alias("recall"), F.count_distinct("cluster").alias("n_clusters"),
+        F.grouping("qtype").alias("_all"), F.count("*").alias("n"), F.avg("recall").alias("recall"), F.count_distinct(F.when(F.col("recall").isNotNull(), F.col("cluster"))).alias("n_clusters"),
         F.avg("llm_calls").alias("llm_calls"), F.avg(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
         F.percentile("latency_s", 0.5).alias("lat_p50"), F.percentile("latency_s", 0.95).alias("lat_p95"),
         F.avg(F.col("escalated").cast("double")).alias("escalated"), F.avg(F.when(routed, (F.col("label") == F.col("gold_route")).cast("double"))).alias("route_acc"),

@@ -36,10 +36,10 @@ def _not_true(flag: Column) -> Column:
 
 
 def judge_reply(reply: Column) -> Column:
-    """The reply's JSON object as a struct, // comments taken out; null where none can be read."""
-    lenient = F.from_json(without_comments(greedy_object(reply)), VERDICT)
-    usable = F.try_parse_json(without_comments(greedy_object(reply))).isNotNull()
-    return F.when(usable, lenient)
+    """The reply's JSON object as a struct, // comments taken out; null where none can be read or it is empty."""
+    text = without_comments(greedy_object(reply))
+    usable = F.try_parse_json(text).isNotNull() & (F.size(F.json_object_keys(text)) > 0)
+    return F.when(usable, F.from_json(text, VERDICT))
 
 
 def verdict_reasons(v: Column, qtype: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import unit
 
 # BM25 (Okapi) constants; a negative idf is replaced by this share of the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -41,22 +46,69 @@ def require_valid(chunks: DataFrame, vectors: DataFrame) -> None:
 
 @dataclass
 class InvertedFile:
-    """postings (term, chunk_idx, tf), lengths (chunk_idx, dl), terms (term, df, idf), corpus (n, avgdl): one row."""
+    """postings (term, chunk_idx, tf, dl), terms (term, df, idf), corpus (n, avgdl): one row. dl is the chunk's length in tokens."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
-def invert(chunks: DataFrame) -> InvertedFile:
-    """chunks (chunk_idx, text). Term counts combine before the shuffle; nothing is gathered."""
-    listed = chunks.select("chunk_idx", tokens(F.col("text")).alias("ts"))
-    lengths = listed.select("chunk_idx", F.size("ts").alias("dl"))
-    postings = listed.select("chunk_idx", F.explode("ts").alias("term")).groupBy("term", "chunk_idx").agg(F.count("*").alias("tf"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def _weighed(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw"))
-    return InvertedFile(postings, lengths, raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), corpus)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+
+
+def invert(chunks: DataFrame, path: str | None = None) -> InvertedFile:
+    """chunks (chunk_idx, text). Term counts combine before the shuffle; nothing is gathered. With ``path`` the tables are
+    written there, postings and terms in the order of terms, so that a query reads only the row groups of its terms."""
+    listed = chunks.select("chunk_idx", tokens(F.col("text")).alias("ts"))
+    corpus = listed.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    postings = listed.select("chunk_idx", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "chunk_idx", "dl").agg(F.count("*").alias("tf"))
+    if path is None:
+        return InvertedFile(postings, _weighed(postings, corpus), corpus)
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    corpus.write.parquet(f"{path}/corpus")
+    read = chunks.sparkSession.read
+    _weighed(read.parquet(f"{path}/postings"), read.parquet(f"{path}/corpus")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return load_inverted(chunks.sparkSession, path)
+
+
+def load_inverted(spark: SparkSession, path: str) -> InvertedFile:
+    return InvertedFile(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")])
+
+
+def rebuilt(chunks: DataFrame, encode: Encoder) -> DataFrame:
+    """Vectors (chunk_idx, vec) of chunks encoded anew; no chunks at all or repeated chunk ids are an error."""
+    row = chunks.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("d")).first()
+    if not row.n or row.n != row.d:
+        raise ValueError(f"an index can't be built of {row.n} chunks with {row.d} ids")
+    return chunks.select("chunk_idx", encode.documents(index_text(F.col("title"), F.col("section"), F.col("text"))).alias("vec"))
+
+
+@dataclass
+class Encoder:
+    """A pluggable text encoder: ``encode`` maps a text column to a vector column, vectors get unit length (none stays none).
+    Queries are encoded behind a prefix, as asymmetric models want it; documents as they are."""
+
+    encode: Callable[[Column], Column]
+    query_prefix: str = ""
+
+    def documents(self, text: Column) -> Column:
+        return unit(self.encode(text))
+
+    def queries(self, text: Column) -> Column:
+        return unit(self.encode(F.concat(F.lit(self.query_prefix), text)))
+
+
+def hashed_words(dimensions: int = 16) -> Callable[[Column], Column]:
+    """The offline encoder: counts of tokens by md5 bucket."""
+
+    @F.pandas_udf("array<double>")
+    def count(listed: pd.Series) -> pd.Series:
+        spot = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dimensions
+        return listed.map(lambda ts: np.bincount([spot(t) for t in ts], minlength=dimensions).astype(float))
+
+    return lambda text: count(tokens(text))

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.vectors import cosine
+from .index import InvertedFile
+from .rank import best_of_block, bm25_top_k, dense_top_k
+
 # Greek letter names; glyph forms of a letter share its name.
 GREEK = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega")
-GLYPHS = "αβγδεζηθικλμνξοπρστυφχψω"
+GLYPHS = ("α", "β", "γ", "δ", "ε", "ζ", "η", "θ", "ι", "κ", "λ", "μ", "ν", "ξ", "ο", "π", "ρ", "σ", "τ", "υ", "φ", "χ", "ψ", "ω")
 VARIANTS = {"ϑ": "theta", "ϖ": "pi", "ϱ": "rho", "ς": "sigma", "ϕ": "phi"}
 
 # Patterns of specific anchors, case kept.
@@ -32,16 +35,19 @@ SHORT_PARAMETER = r"^(?:[A-Za-z][0-9]+|[A-Za-z]{1,2}_[A-Za-z0-9]+(?:_[A-Za-z0-9]
 
 # Words that are no signal.
 STOP_TERMS = (
-    "about after also analysis between could discussion early first from into later method model paper passage reported results section should study that "
-    "their there these this through using which with were been being does find finds gave gives have more most over same than then they what when where "
-    "would your abstract introduction"
-).split()
+    "about", "after", "also", "analysis", "between", "could", "discussion", "early", "first", "from", "into", "later", "method", "model", "paper",
+    "passage", "reported", "results", "section", "should", "study", "that", "their", "there", "these", "this", "through", "using", "which", "with",
+    "were", "been", "being", "does", "find", "finds", "gave", "gives", "have", "more", "most", "over", "same", "than", "then", "they", "what", "when",
+    "where", "would", "your", "abstract", "introduction",
+)
 # Words that tell of an update; singular and exact.
 UPDATE_TERMS = (
-    "constraint conclusion estimate measurement posterior result tension update updated revised improve improved change changed refine refined increase decrease"
-).split()
+    "constraint", "conclusion", "estimate", "measurement", "posterior", "result", "tension", "update", "updated", "revised", "improve", "improved",
+    "change", "changed", "refine", "refined", "increase", "decrease",
+)
 EVIDENCE_SECTION = r"(?i)result|method|data|observ|analys|discussion|measure|conclusion"
 RESTATING_SECTION = r"(?i)conclusion|summary|outlook"
+NO_EVIDENCE = r"(?i)^(abstract|front matter|introduction|background|acknowledg|appendix|references|bibliography|related work|motivation)"
 NEAR_DUPLICATE, MIN_SHARED, MIN_CHARS, POOL, TOP = 0.80, 2, 500, 80, 12
 
 
@@ -64,11 +70,11 @@ def canonical(text: Column, compose: bool = True) -> Column:
     text = _nfkc(text) if compose else text
     # what has to be looked up or lower-cased is cut out between marks, so that each rule is one pass
     tex = F.split(F.regexp_replace(text, rf"(?i)\\({'|'.join(GREEK)})(?![A-Za-z])", "\u0001\u0002$1\u0001"), "\u0001")
-    plain = F.array_join(F.transform(tex, lambda p: F.when(F.startswith(p, F.lit("\u0002")), F.lower(F.substring(p, 2, 1 << 20))).otherwise(p)), "")
+    plain = F.array_join(F.transform(tex, lambda p: F.when(F.startswith(p, F.lit("\u0002")), F.lower(F.substring(p, F.lit(2), F.length(p)))).otherwise(p)), "")
     apart = F.regexp_replace(plain, rf"([A-Za-z])([{glyphs}])", "$1_$2")
     pieces = F.split(F.regexp_replace(apart, rf"([{glyphs}])(?:_?([A-Za-z]+|[0-9]+))?", "\u0001$1\u0002$2\u0001"), "\u0001")
     letter = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    named = lambda p: F.concat_ws("_", F.element_at(letter, F.substring(p, 1, 1)), F.nullif(F.lower(F.substring(p, 3, 1 << 20)), F.lit("")))
+    named = lambda p: F.concat_ws("_", F.element_at(letter, F.substring(p, 1, 1)), F.nullif(F.lower(F.substring(p, F.lit(3), F.length(p))), F.lit("")))
     spelled = F.array_join(F.transform(pieces, lambda p: F.when(F.substring(p, 2, 1) == "\u0002", named(p)).otherwise(p)), "")
     text = F.when(text.rlike(rf"[{glyphs}\\]"), spelled).otherwise(text)
     text = F.regexp_replace(text, r"(?i)(?<![A-Za-z])N_?eff\b", "Neff")
@@ -111,10 +117,15 @@ def _parts(a: str, b: str) -> dict[str, Column]:
     return {"shared": shared, "specific": specific, "only_a": F.array_except(sa, sb), "only_b": F.array_except(sb, sa), "similarity": jaccard(sa, sb)}
 
 
+def may_pair(a: str = "a", b: str = "b") -> Column:
+    """The prefilter of every pair: enough shared signals."""
+    return F.size(F.array_intersect(F.col(f"{a}.signals"), F.col(f"{b}.signals"))) >= MIN_SHARED
+
+
 def cross_reason(qtype: str, a: str = "a", b: str = "b") -> Column:
     """Why a pair of different papers fails, first reason first; null where it passes. Sides are structs with signals, anchors, date, section."""
     p = _parts(a, b)
-    reason = F.when(F.size(p["shared"]) < MIN_SHARED, "no_shared_scientific_signal").when(F.size(p["specific"]) < 1, "no_shared_specific_signal")
+    reason = F.when(~may_pair(a, b), "no_shared_scientific_signal").when(F.size(p["specific"]) < 1, "no_shared_specific_signal")
     reason = reason.when(p["similarity"] >= NEAR_DUPLICATE, "near_duplicate_passages")
     if qtype == "multi_hop":
         reason = reason.when((F.size(p["only_a"]) == 0) | (F.size(p["only_b"]) == 0), "not_complementary_evidence")
@@ -133,11 +144,12 @@ def cross_score(dense: Column, a: str = "a", b: str = "b") -> Column:
     return 8.0 * F.size(p["specific"]) + 2.0 * general + complement + F.greatest(dense, F.lit(0.0))
 
 
-def chain_reason(a: str = "a", b: str = "b") -> Column:
-    """Why an abstract and a passage of its paper fail, first reason first."""
+def chain_reason(a: str = "a", b: str = "b", evidence: Column | None = None) -> Column:
+    """Why an abstract and a passage of its paper fail, first reason first; ``evidence`` is another rule for the passage's section."""
     p = _parts(a, b)
-    reason = F.when(F.col(f"{a}.paper_id") != F.col(f"{b}.paper_id"), "chain_different_paper").when(~F.col(f"{b}.section").rlike(EVIDENCE_SECTION), "no_evidence_section")
-    return reason.when(F.size(p["shared"]) < MIN_SHARED, "no_shared_scientific_signal").when(p["similarity"] >= NEAR_DUPLICATE, "near_duplicate_passages")
+    told = section_rule(F.col(f"{b}.section"), "current") if evidence is None else evidence
+    reason = F.when(F.col(f"{a}.paper_id") != F.col(f"{b}.paper_id"), "chain_different_paper").when(~told, "no_evidence_section")
+    return reason.when(~may_pair(a, b), "no_shared_scientific_signal").when(p["similarity"] >= NEAR_DUPLICATE, "near_duplicate_passages")
 
 
 def chain_score(a: str = "a", b: str = "b") -> Column:
@@ -169,10 +181,10 @@ def anchored_pairs(chunks: DataFrame) -> DataFrame:
     return met.join(named("a"), "ia").join(named("b"), "ib").select("a", "b")
 
 
-def by_date(pairs: DataFrame) -> DataFrame:
-    """The older side first, as temporal pairs are told."""
+def by_date(pairs: DataFrame, *others: str) -> DataFrame:
+    """The older side first, as temporal pairs are told; ``others`` are columns to keep."""
     swap = F.coalesce(F.col("a.date"), F.lit("")) > F.coalesce(F.col("b.date"), F.lit(""))
-    return pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return pairs.select(*others, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def funnel(pairs: DataFrame, reason: Column) -> DataFrame:
@@ -187,6 +199,17 @@ def paper_pairs(passed: DataFrame) -> DataFrame:
     return passed.groupBy(F.least(p, q).alias("paper_1"), F.greatest(p, q).alias("paper_2")).agg(F.count("*").alias("n"))
 
 
+def pair_summary(judged: DataFrame, top: int = 5) -> DataFrame:
+    """judged (a, b, reason) -> one row: pairs, passing ones, distinct pairs of papers, papers involved, and the ``top`` pairs of papers."""
+    counts = judged.agg(F.count("*").alias("pairs"), F.count_if(F.col("reason").isNull()).alias("passed"))
+    by_paper = paper_pairs(judged.where("reason is null"))
+    involved = by_paper.select(F.explode(F.array("paper_1", "paper_2")).alias("p")).agg(F.count_distinct("p").alias("papers"))
+    best = by_paper.orderBy(F.desc("n"), "paper_1", "paper_2").limit(top)
+    line = F.struct((-F.col("n")).alias("n"), "paper_1", "paper_2", F.concat("paper_1", F.lit("+"), "paper_2", F.lit(":"), "n").alias("line"))
+    listed = best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), " ").alias("top_pairs"))
+    return counts.crossJoin(by_paper.agg(F.count("*").alias("paper_pairs"))).crossJoin(involved).crossJoin(listed)  # one-row tables
+
+
 def chain_pairs(chunks: DataFrame, abstract_section: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """Each paper's first abstract chunk with its other long chunks: an equi-join on the paper."""
     first = chunks.where(F.col("section") == abstract_section).groupBy("paper_id").agg(F.min("chunk_idx").alias("abstract_idx")).select("abstract_idx")
@@ -207,37 +230,91 @@ def candidate_pool(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     return dense.select("query", "chunk_idx", "rank").unionByName(lexical.select("query", "chunk_idx", "rank")).groupBy("query", "chunk_idx").agg(F.sum(1.0 / F.col("rank")).alias("bonus"))
 
 
-def ranked_candidates(pool: DataFrame, chunks: DataFrame, qtype: str, top: int = TOP) -> DataFrame:
-    """pool (query, chunk_idx, bonus, dense) -> best ``top`` passing partners of each source chunk, ties to the smaller index."""
-    named = lambda side: sides(chunks, side).withColumn(f"i{side}", F.col(f"{side}.chunk_idx"))
-    met = pool.join(named("a").withColumnRenamed("ia", "query"), "query").join(named("b").withColumnRenamed("ib", "chunk_idx"), "chunk_idx")
-    other = met.where(F.col("a.paper_id") != F.col("b.paper_id"))
-    if qtype == "temporal":
-        swap = F.coalesce(F.col("a.date"), F.lit("")) > F.coalesce(F.col("b.date"), F.lit(""))
-        other = other.withColumn("_a", F.when(swap, F.col("b")).otherwise(F.col("a"))).withColumn("b", F.when(swap, F.col("a")).otherwise(F.col("b"))).drop("a").withColumnRenamed("_a", "a")
-    scored = other.where(cross_reason(qtype).isNull()).withColumn("score", cross_score(F.col("dense")) + F.col("bonus"))
-    order = W.partitionBy("query").orderBy(F.round("score", 9).desc(), "chunk_idx")
-    return scored.select("query", "chunk_idx", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+def signal_pool(chunks: DataFrame, vectors: DataFrame, sources: DataFrame, index: InvertedFile, limit: int = POOL) -> DataFrame:
+    """The pool of every source chunk (chunk_idx, signals): its nearest chunks and what BM25 finds for its signals, sorted and
+    joined by blanks. A source without signals has the dense list alone; the source itself takes a place in both lists."""
+    own = sources.select(F.col("chunk_idx").alias("query"))
+    near = dense_top_k(vectors, vectors.withColumnRenamed("chunk_idx", "query").join(own, "query", "left_semi"), limit)
+    asked = sources.where(F.size("signals") > 0).select(F.col("chunk_idx").alias("query"), F.array_join(F.array_sort("signals"), " ").alias("text"))
+    return candidate_pool(near, bm25_top_k(index, asked, chunks, limit))
 
 
-def sampling_pool(chunks: DataFrame, split: Column, wanted: str, seed: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Long chunks of a split in a drawn order that the seed fixes."""
-    pool = chunks.where((F.length("text") >= min_chars) & (F.col("section") != "Front matter") & (split == wanted))
-    return pool.withColumn("draw", F.xxhash64("chunk_id", F.lit(seed)))
+def dated(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """chunks with the day their paper was published, looked up in metadata (paper_id, published); empty where it isn't known."""
+    day = metadata.select("paper_id", F.substring("published", 1, 10).alias("date"))
+    return chunks.join(day, "paper_id", "left").withColumn("date", F.coalesce("date", F.lit("")))
+
 
+def judged_candidates(pool: DataFrame, chunks: DataFrame, vectors: DataFrame, qtype: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """pool (query, chunk_idx, bonus) -> (query, chunk_idx, reason, score) of partners of other papers, of the same split and long
+    enough; chunks have split and chars. Temporal pairs are read from the older side; the score is null where a gate stops."""
+    other = chunks.select(F.struct(*SIDE).alias("b"), F.col("chunk_idx"), F.col("split").alias("split_b"), F.col("chars").alias("chars_b"))
+    own = chunks.select(F.struct(*SIDE).alias("a"), F.col("chunk_idx").alias("query"), "split")
+    met = pool.join(own, "query").join(other, "chunk_idx").where((F.col("a.paper_id") != F.col("b.paper_id")) & (F.col("split") == F.col("split_b")) & (F.col("chars_b") >= min_chars))
+    vector = lambda key, name: vectors.select(F.col("chunk_idx").alias(key), F.col("vec").alias(name))
+    met = met.join(vector("query", "va"), "query").join(vector("chunk_idx", "vb"), "chunk_idx").withColumn("dense", cosine(F.col("va"), F.col("vb")))
+    told = by_date(met, "query", "chunk_idx", "bonus", "dense") if qtype == "temporal" else met
+    why = cross_reason(qtype)
+    return told.select("query", "chunk_idx", why.alias("reason"), F.when(why.isNull(), cross_score(F.col("dense")) + F.col("bonus")).alias("score"))
 
-def _best_of_block(vectors: pd.DataFrame, sources: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of one block for each source of a block: by score to 9 places, then index; all ties at the cut are looked at."""
-    out = []
-    if len(vectors) and len(sources):
-        ids = vectors.chunk_idx.to_numpy(np.int64)
-        scores = np.round(np.array(sources.own.tolist(), np.float64) @ np.array(vectors.vec.tolist(), np.float64).T, 9)
-        for query, own in zip(sources["query"], scores, strict=True):
-            least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-            kept = np.flatnonzero(own >= least)
-            kept = kept[np.lexsort((ids[kept], -own[kept]))][:k]
-            out.append(pd.DataFrame({"query": query, "chunk_idx": ids[kept], "score": own[kept]}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "chunk_idx": [], "score": []})
+
+def best_candidates(judged: DataFrame, top: int = TOP) -> DataFrame:
+    """The best ``top`` passing partners of each source, ties to the smaller index."""
+    order = W.partitionBy("query").orderBy(F.round("score", 9).desc(), "chunk_idx")
+    return judged.where("reason is null").select("query", "chunk_idx", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def chain_candidates(chunks: DataFrame, vectors: DataFrame, abstract_section: str, min_chars: int = MIN_CHARS, top: int = TOP) -> DataFrame:
+    """(paper_id, abstract_idx, chunk_idx, score, rank): the best ``top`` passages of a paper to chain with its abstract, by the
+    gate's score plus the cosine; ties go to the smaller index, papers without an abstract have none."""
+    passed = chain_pairs(chunks, abstract_section, min_chars).where(chain_reason().isNull())
+    rows = passed.select(F.col("a.paper_id").alias("paper_id"), F.col("a.chunk_idx").alias("abstract_idx"), F.col("b.chunk_idx").alias("chunk_idx"), chain_score().alias("gate"))
+    vector = lambda key, name: vectors.select(F.col("chunk_idx").alias(key), F.col("vec").alias(name))
+    scored = rows.join(vector("abstract_idx", "va"), "abstract_idx").join(vector("chunk_idx", "vb"), "chunk_idx").withColumn("score", F.col("gate") + cosine(F.col("va"), F.col("vb")))
+    order = W.partitionBy("paper_id").orderBy(F.round("score", 9).desc(), "chunk_idx")
+    return scored.select("paper_id", "abstract_idx", "chunk_idx", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def section_rule(section: Column, rule: str, labels: Column | None = None) -> Column:
+    """Whether a section counts as evidence: by the pattern (``current``), by it without restating sections (``tighten``), as all
+    that is not plainly something else (``blacklist``), or as a person labelled it (``labels``: y)."""
+    restates = section.rlike(RESTATING_SECTION)
+    if rule == "labels":
+        return F.coalesce(labels == "y", F.lit(False))
+    return {"current": section.rlike(EVIDENCE_SECTION), "tighten": section.rlike(EVIDENCE_SECTION) & ~restates, "blacklist": ~section.rlike(NO_EVIDENCE) & ~restates}[rule]
+
+
+def section_feasibility(chunks: DataFrame, abstract_section: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row: papers, those with an abstract, with evidence, with both; evidence chunks, long chunks, and evidence that restates."""
+    evidence = (F.length("text") >= min_chars) & F.col("section").rlike(EVIDENCE_SECTION) & ~F.col("section").isin(abstract_section, "Front matter")
+    own = chunks.groupBy("paper_id").agg(
+        F.bool_or(F.col("section") == abstract_section).alias("a"), F.bool_or(evidence).alias("e"), F.count_if(evidence).alias("n"), F.count_if(F.length("text") >= min_chars).alias("long"),
+        F.count_if(evidence & F.col("section").rlike(RESTATING_SECTION)).alias("restating"),
+    )
+    return own.agg(
+        F.count("*").alias("papers"), F.count_if("a").alias("with_abstract"), F.count_if("e").alias("with_evidence"), F.count_if(F.col("a") & F.col("e")).alias("with_both"),
+        F.sum("n").alias("evidence_chunks"), F.sum("long").alias("long_chunks"), F.sum("restating").alias("restating_chunks"),
+    )
+
+
+def unmatched_sections(chunks: DataFrame, min_chars: int = MIN_CHARS, top: int = 30) -> DataFrame:
+    """(section, n): the most frequent sections of long chunks that the evidence pattern doesn't know; a report of ``top`` rows."""
+    rows = chunks.where((F.length("text") >= min_chars) & ~F.col("section").rlike(EVIDENCE_SECTION)).groupBy("section").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "section").limit(top)
+
+
+def split_isolation(chunks: DataFrame, split: Column) -> DataFrame:
+    """One row: papers, papers in train and in test, papers in both or in neither (both 0 where the splits part the papers)."""
+    own = chunks.groupBy("paper_id").agg(F.bool_or(split == "train").alias("train"), F.bool_or(split == "test").alias("test"))
+    tr, te = F.coalesce("train", F.lit(False)), F.coalesce("test", F.lit(False))
+    return own.agg(F.count("*").alias("papers"), F.count_if(tr).alias("train"), F.count_if(te).alias("test"), F.count_if(tr & te).alias("shared"), F.count_if(~tr & ~te).alias("uncovered"))
+
+
+def sampling_pool(chunks: DataFrame, split: Column, wanted: str, seed: int, prior_runs: int = 0, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Long chunks of a split with their ``draw``: in its order they are tried. Seed and prior runs together fix it, so that a
+    run that goes on after another draws anew."""
+    pool = chunks.where((F.length("text") >= min_chars) & (F.col("section") != "Front matter") & (split == wanted))
+    return pool.withColumn("draw", F.md5(F.concat(F.lit(f"{seed + prior_runs}:"), F.col("chunk_id").cast("string"))))
 
 
 def nearest_cross_paper(chunks: DataFrame, vectors: DataFrame, split: Column, k: int = 60, min_chars: int = MIN_CHARS, block: int = 2048) -> DataFrame:
@@ -254,7 +331,7 @@ def nearest_cross_paper(chunks: DataFrame, vectors: DataFrame, split: Column, k:
     upto = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(spot("chunk_idx").alias("i"), upto.alias("j"), "chunk_idx", "vec")
     right = vectors.join(pool.select("chunk_idx"), "chunk_idx", "left_semi").select(upto.alias("i"), spot("chunk_idx").alias("j"), F.col("chunk_idx").alias("query"), F.col("vec").alias("own"))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: _best_of_block(a, b, k), "query long, chunk_idx long, score double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: best_of_block(a, b, k), "query long, chunk_idx long, score double")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "chunk_idx")
     near = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     own = pool.select(F.col("chunk_idx").alias("query"), F.col("paper_id").alias("source_paper"), F.col("split").alias("source_split"))

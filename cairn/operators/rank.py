@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import dot
-from .index import B, K1, InvertedFile
+from .index import B, K1, InvertedFile, rerank_text
 
 RRF_K = 60
 TIE = 9
@@ -22,23 +23,47 @@ TIE = 9
 def bm25_scores(index: InvertedFile, queries: DataFrame) -> DataFrame:
     """queries (query, text) -> (query, chunk_idx, score) for chunks that share a term; repeated query terms count again.
 
-    Only postings of query terms leave the index: the filter by term happens before lengths are joined.
+    Only postings of query terms leave the index, and they carry their chunk's length, so nothing else is joined.
     """
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
     asked = asked.join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.lengths, "chunk_idx").crossJoin(F.broadcast(index.corpus))  # one row
+    hits = index.postings.join(asked, "term").crossJoin(F.broadcast(index.corpus))  # one row
     tf, dl = F.col("tf"), F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl))
     return hits.groupBy("query", "chunk_idx").agg(F.sum(part).alias("score"))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """vectors (chunk_idx, vec), queries (query, vec) -> inner products of all pairs (cosines of unit vectors).
+def best_of_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of one block for each query of a block: by score to TIE digits, then index; all ties at the cut are looked at."""
+    out = []
+    if len(vectors) and len(queries):
+        ids = vectors.chunk_idx.to_numpy(np.int64)
+        scores = np.round(np.array(queries.own.tolist(), np.float64) @ np.array(vectors.vec.tolist(), np.float64).T, TIE)
+        for query, own in zip(queries["query"], scores, strict=True):
+            least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+            kept = np.flatnonzero(own >= least)
+            kept = kept[np.lexsort((ids[kept], -own[kept]))][:k]
+            out.append(pd.DataFrame({"query": query, "chunk_idx": ids[kept], "score": own[kept]}))
+    return pd.concat(out) if out else pd.DataFrame({"query": [], "chunk_idx": [], "score": []})
 
-    Exhaustive by definition: every query is scored against every row, so the queries, not the rows, are replicated.
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """vectors (chunk_idx, vec), queries (query, vec) -> the k best inner products of each query (cosines of unit vectors) with
+    ``rank`` from 1.
+
+    Exhaustive by definition. Rows and queries are dealt into blocks of about ``block``, a pair of blocks is one matrix
+    product, and only its k best leave it; so every row travels once for each block of queries.
     """
-    pairs = vectors.join(queries.select("query", F.col("vec").alias("query_vec")))
-    return pairs.select("query", "chunk_idx", dot(F.col("vec"), F.col("query_vec")).alias("score"))
+    if k <= 0:
+        return queries.select("query", F.lit(0).cast("long").alias("chunk_idx"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+    kind = queries.select("query").schema
+    blocks = [max(1, -(-df.count() // block)) for df in (vectors, queries)]
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(spot("chunk_idx", blocks[0]).alias("i"), upto(blocks[1]).alias("j"), "chunk_idx", "vec")
+    right = queries.select(upto(blocks[0]).alias("i"), spot("query", blocks[1]).alias("j"), F.to_json(F.struct("query")).alias("query"), F.col("vec").alias("own"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: best_of_block(a, b, k), "query string, chunk_idx long, score double")
+    return top_k(found.withColumn("query", F.from_json("query", kind)["query"]), k)
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
@@ -83,7 +108,7 @@ def overlap_score(question: Column, text: Column) -> Column:
 def rerank(pooled: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """Orders a pool by a pluggable score against the original question; ties keep the pool's order."""
     joined = pooled.join(questions.select("query", F.col("text").alias("question")), "query").join(chunks.select("chunk_idx", "title", "text"), "chunk_idx")
-    scored = joined.withColumn("score", scorer(F.col("question"), F.concat("title", F.lit("\n"), "text")))
+    scored = joined.withColumn("score", scorer(F.col("question"), rerank_text(F.col("title"), F.col("text"))))
     order = W.partitionBy("query").orderBy(F.round("score", TIE).desc(), "place")
     return scored.select("query", "chunk_idx", "place", "score").withColumn("rank", F.row_number().over(order))
 

@@ -31,7 +31,7 @@ def retrieve(routed: DataFrame, subqueries: DataFrame, index: InvertedFile, chun
     asked = own.unionByName(parts).unionByName(lone)
     # one list per (query, sub): the pair is the query of the list operators
     key = F.struct(F.col("query").alias("q"), F.col("sub").alias("s"))
-    dense = rank.top_k(rank.dense_scores(vectors, asked.join(query_vectors, "query").select(key.alias("query"), "vec")), DENSE_K)
+    dense = rank.dense_top_k(vectors, asked.join(query_vectors, "query").select(key.alias("query"), "vec"), DENSE_K)
     hybrid = asked.join(plan.where("use_hybrid").select("query"), "query", "left_semi").select(key.alias("query"), "text")
     lexical = rank.bm25_top_k(index, hybrid, chunks, BM25_K)
     both = dense.select("query", F.lit(0).alias("list_no"), "chunk_idx", "rank").unionByName(lexical.select("query", F.lit(1).alias("list_no"), "chunk_idx", "rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, greedy_object
+from ..functions.text import SPACE, collapsed, greedy_array, greedy_object
 
 LABELS = ("SIMPLE", "MULTI_HOP", "UNCERTAIN")
 
@@ -56,12 +56,16 @@ def heuristic(question: Column) -> Column:
 
 
 def llm_reply(reply: Column, source: str = "llm") -> Column:
-    """Reads a model's JSON reply; anything but a known label with a finite confidence is an uncertain parse failure."""
-    read = F.from_json(greedy_object(reply), "label string, confidence string")
-    confidence = read["confidence"].try_cast("double")
+    """Reads a model's JSON reply: a label in any case, and a confidence that is 0 where it isn't given. Anything but a known
+    label with a finite confidence (null is none) is an uncertain parse failure."""
+    text = greedy_object(reply)
+    read = F.from_json(text, "label string, confidence string")
+    given = F.array_contains(F.json_object_keys(text), "confidence")
+    label = F.upper(read["label"])
+    confidence = F.when(given, read["confidence"].try_cast("double")).otherwise(F.lit(0.0))
     finite = confidence.isNotNull() & ~F.isnan(confidence) & (F.abs(confidence) != float("inf"))
-    good = F.coalesce(read["label"].isin(*LABELS) & finite, F.lit(False))
-    return F.when(good, decision(read["label"], F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)), F.lit(source))).otherwise(
+    good = F.coalesce(label.isin(*LABELS) & finite, F.lit(False))
+    return F.when(good, decision(label, F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)), F.lit(source))).otherwise(
         decision(F.lit("UNCERTAIN"), F.lit(0.0), F.lit(f"{source}:parse_fail"))
     )
 
@@ -86,10 +90,34 @@ def experiments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, router string, fixed_label string, escalates boolean")
 
 
-def named(router: str, question: Column) -> Column:
-    """Router by name for those that need the question alone; unknown or untrained ones are an error."""
+def routed(questions: DataFrame, router: str, replies: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """questions (query, text) with the ``route`` of a router by name. Fixed and heuristic ones need the question alone, ``llm``
+    the model's replies (query, reply; a missing one is a parse failure), ``oracle`` the known labels (question, label); a
+    name that is unknown, untrained or lacks what it needs is an error."""
     if router in FIXED:
-        return fixed(FIXED[router])
+        return questions.withColumn("route", fixed(FIXED[router]))
     if router == "heuristic":
-        return heuristic(question)
-    raise ValueError(f"router {router!r} needs a model or is unknown")
+        return questions.withColumn("route", heuristic(F.col("text")))
+    if router == "llm" and replies is not None:
+        met = questions.join(replies.select("query", "reply"), "query", "left")
+        return met.withColumn("route", llm_reply(F.coalesce("reply", F.lit("")))).drop("reply")
+    if router == "oracle" and known is not None:
+        return oracle(questions, known)
+    raise ValueError(f"router {router!r} is unknown, or what it needs is missing")
+
+
+def experiment(questions: DataFrame, code: str, replies: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """questions with the route of an experiment's code; those that escalate fall back to the strongest strategy when unsure."""
+    router, escalates = next(((r, e) for c, r, e in EXPERIMENTS if c == code), (None, False))
+    if router is None:
+        raise ValueError(f"experiment {code!r} is unknown")
+    out = routed(questions, router, replies, known)
+    return out.withColumn("route", escalating(F.col("route"), fixed(FIXED["strongest"]))) if escalates else out
+
+
+def decomposed(reply: Column, question: Column) -> Column:
+    """Sub-questions of a model's reply: the non-blank texts of its JSON array, at most three; the question alone without any."""
+    items = F.from_json(greedy_array(reply), "array<variant>")
+    texts = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    kept = F.slice(F.filter(texts, lambda t: F.regexp_replace(t, SPACE, "") != ""), 1, 3)
+    return F.when(F.size(F.coalesce(kept, F.array().cast("array<string>"))) > 0, kept).otherwise(F.array(question))

@@ -21,7 +21,12 @@ def _count(of: str, key: str) -> Column:
 
 
 def provider_tokens() -> Column:
-    """Provider-counted tokens of a run; the generic counters stand in where it has none."""
+    """Provider-counted tokens of a run."""
+    return _count("llm", "provider_prompt_tokens") + _count("llm", "provider_completion_tokens")
+
+
+def spent_tokens() -> Column:
+    """Tokens of a run that count against a budget; the generic counters stand in where it has none of the provider's."""
     get = lambda k: F.try_element_at(F.col("llm"), F.lit(k))
     part = lambda k: F.greatest(F.coalesce(get(f"provider_{k}"), get(k), F.lit(0)), F.lit(0))
     return part("prompt_tokens") + part("completion_tokens")
@@ -59,14 +64,14 @@ def pilot_summary(runs: DataFrame, questions: DataFrame) -> DataFrame:
     )
     q = questions.agg(F.count("*").alias("saved_total"))
     p = questions.select(F.explode("gold_paper_ids").alias("p")).agg(F.count_distinct("p").alias("distinct_gold_papers"))
-    each = F.round(F.try_divide(F.col("provider_tokens_total"), F.col("saved_total").cast("double"))).cast("long")
+    each = F.bround(F.try_divide(F.col("provider_tokens_total"), F.col("saved_total").cast("double")), 0).cast("long")
     return r.crossJoin(q).crossJoin(p).withColumn("tokens_per_saved_candidate", each)  # three one-row tables
 
 
 def budget(runs: DataFrame, limit: int) -> DataFrame:
     """(run_no, tokens, cumulative, over): running token use against a limit; 0 or less is no limit."""
     line = W.orderBy("run_no").rowsBetween(W.unboundedPreceding, 0)  # a log of runs, not of documents
-    spent = runs.select("run_no", provider_tokens().alias("tokens")).withColumn("cumulative", F.sum("tokens").over(line))
+    spent = runs.select("run_no", spent_tokens().alias("tokens")).withColumn("cumulative", F.sum("tokens").over(line))
     return spent.withColumn("over", F.lit(limit > 0) & (F.col("cumulative") >= limit))
 
 

@@ -13,7 +13,7 @@ R6 = lambda c: F.round(c, 6)
 
 
 @query(rf"""WITH {V.RESULTS_SQL}
-  SELECT experiment, coalesce(qtype, 'ALL') AS qtype, count(*) AS n, round(avg(recall), 6) AS recall, count(DISTINCT cluster) AS n_clusters,
+  SELECT experiment, coalesce(qtype, 'ALL') AS qtype, count(*) AS n, round(avg(recall), 6) AS recall, count(DISTINCT cluster) FILTER (WHERE recall IS NOT NULL) AS n_clusters,
     round(avg(llm_calls), 6) AS llm_calls, round(avg(prompt_tokens + completion_tokens), 6) AS tokens,
     round(quantile_cont(latency_s, 0.5), 6) AS lat_p50, round(quantile_cont(latency_s, 0.95), 6) AS lat_p95, round(avg(escalated::INT), 6) AS escalated,
     round(avg((label = gold_route)::INT) FILTER (WHERE NOT starts_with(route_source, 'fixed:') AND gold_route IS NOT NULL), 6) AS route_acc

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import paper_split
 from ..operators import pairs as P
-from ..operators import rank
 from ..operators.index import invert
 from . import views as V
 from .etl import _SPLIT_OF
@@ -134,44 +133,125 @@ def chain_passes_per_paper(spark: SparkSession, sf: str) -> DataFrame:
     return P.upper_median(per, "n")
 
 
-_CAND_SQL = rf"""{V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {V.VECTORS_SQL}, {V.INVERTED_SQL}, {V.bm25_sql('questions', 'lex').replace('rank <= 20', 'rank <= 80')},
-  ds AS (SELECT q.query, c.chunk_idx, list_inner_product(c.vec, q.vec) AS score FROM chunk_vectors c, query_vectors q),
-  dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM ds) WHERE rank <= 80),
-  cand AS (SELECT query, chunk_idx, sum(1.0::DOUBLE / rank) AS bonus FROM (SELECT query, chunk_idx, rank FROM dl UNION ALL SELECT query, chunk_idx, rank FROM lex) GROUP BY 1, 2)"""
+_CAND_SQL = rf"""{_POOL_SQL}, chunks AS (SELECT chunk_idx, text FROM pool), {V.INVERTED_SQL}, asked AS (SELECT chunk_idx AS query, array_to_string(signals, ' ') AS text FROM pool WHERE len(signals) > 0), {V.bm25_sql('asked', 'lex').replace('rank <= 20', 'rank <= 80')},
+  e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  ds AS (SELECT x.chunk_idx AS query, y.chunk_idx, list_inner_product(ex.v, ey.v) AS dense, coalesce(list_inner_product(ex.v, ey.v) / nullif(sqrt(list_inner_product(ex.v, ex.v)) * sqrt(list_inner_product(ey.v, ey.v)), 0), 0) AS cosine
+    FROM pool x JOIN e ex ON ex.vec_id = x.chunk_idx, pool y JOIN e ey ON ey.vec_id = y.chunk_idx),
+  dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(dense, 9) DESC, chunk_idx) AS rank FROM ds) WHERE rank <= 80),
+  cand AS (SELECT query, chunk_idx, sum(1.0::DOUBLE / rank) AS bonus FROM (SELECT query, chunk_idx, rank FROM dl UNION ALL SELECT query, chunk_idx, rank FROM lex) GROUP BY 1, 2),
+  w AS (SELECT pool, chunk_idx AS i, {_SPLIT_OF} AS split, length(text) AS chars FROM (SELECT *, paper_id AS k FROM pool) pool)"""
+
+
+def _judged_sql(qtype: str) -> str:
+    order = "CASE WHEN x.pool.date > y.pool.date THEN y.pool ELSE x.pool END AS a, CASE WHEN x.pool.date > y.pool.date THEN x.pool ELSE y.pool END AS b" if qtype == "temporal" else "x.pool AS a, y.pool AS b"
+    return rf"""q AS (SELECT c.query, c.chunk_idx, c.bonus, ds.cosine, {order} FROM cand c JOIN w x ON x.i = c.query JOIN w y ON y.i = c.chunk_idx JOIN ds ON ds.query = c.query AND ds.chunk_idx = c.chunk_idx
+    WHERE x.pool.paper_id <> y.pool.paper_id AND x.split = y.split AND y.chars >= 100),
+  g AS (SELECT query, chunk_idx, bonus, cosine, a.date AS da, b.date AS db, a.section AS sa, b.section AS sb, a.signals AS siga, b.signals AS sigb, {_GATE_SQL} FROM q),
+  r AS (SELECT *, CASE WHEN shared < 2 THEN 'no_shared_scientific_signal' WHEN specific < 1 THEN 'no_shared_specific_signal' WHEN sim >= 0.8 THEN 'near_duplicate_passages' {_REASON_SQL[qtype]} END AS reason FROM g)"""
+
 
+def _vectors(spark: SparkSession, sf: str, own: DataFrame) -> DataFrame:
+    given = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.col("embedding").alias("vec"))
+    return given.join(own.select("chunk_idx"), "chunk_idx", "left_semi")
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, asked = V.chunks(spark, sf), V.questions(spark, sf).select("query", "text")
-    dense = rank.top_k(rank.dense_scores(V.chunk_vectors(spark, sf), V.query_vectors(spark, sf)), P.POOL)
-    return P.candidate_pool(dense, rank.bm25_top_k(invert(chunks), asked, chunks, P.POOL))
+
+def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pool, passages and vectors; passages get their dates from the papers' metadata."""
+    rows = _passages(spark, sf)
+    metadata = rows.select("paper_id", F.concat("date", F.lit("T00:00:00Z")).alias("published")).where("date <> ''").distinct()
+    own = P.dated(rows.drop("date"), metadata).withColumn("split", paper_split(F.col("paper_id"))).withColumn("chars", F.length("text"))
+    vectors = _vectors(spark, sf, own)
+    return P.signal_pool(own, vectors, own, invert(own), P.POOL), own, vectors
 
 
 @query(rf"""WITH {_CAND_SQL} SELECT query, chunk_idx, round(bonus, 6) AS bonus FROM cand""")
 def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates(spark, sf).select("query", "chunk_idx", R6("bonus").alias("bonus"))
+    """The 80 nearest of every passage and the 80 that BM25 finds for its signals."""
+    return _candidates(spark, sf)[0].select("query", "chunk_idx", R6("bonus").alias("bonus"))
 
 
-@query(rf"""WITH {_POOL_SQL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-  ds AS (SELECT x.chunk_idx AS query, y.chunk_idx, list_inner_product(ex.v, ey.v) AS dense FROM pool x JOIN e ex ON ex.vec_id = x.chunk_idx, pool y JOIN e ey ON ey.vec_id = y.chunk_idx),
-  dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(dense, 9) DESC, chunk_idx) AS rank FROM ds) WHERE rank <= 80),
-  g AS (SELECT d.query, d.chunk_idx, d.rank, d.dense, a.paper_id AS pa, b.paper_id AS pb, {_GATE_SQL} FROM dl d JOIN pool a ON a.chunk_idx = d.query JOIN pool b ON b.chunk_idx = d.chunk_idx),
-  s AS (SELECT query, chunk_idx, 8.0 * specific + 2.0 * (shared - specific) + least(only_a, only_b, 6) + greatest(dense, 0) + 1.0::DOUBLE / rank AS score FROM g
-    WHERE pa <> pb AND shared >= 2 AND specific >= 1 AND sim < 0.8 AND only_a > 0 AND only_b > 0),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s)
-  SELECT query, rank, chunk_idx, round(score, 6) AS score FROM r WHERE rank <= 12""")
+@query(" UNION ALL ".join(rf"""(WITH {_CAND_SQL}, {_judged_sql(t)}, s AS (SELECT *, 8.0 * specific + 2.0 * (shared - specific) + least(only_a, only_b, 6) + greatest(cosine, 0) + bonus AS score FROM r WHERE reason IS NULL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s)
+  SELECT '{t}' AS qtype, query, rank, chunk_idx, round(score, 6) AS score FROM t WHERE rank <= 12)""" for t in ("multi_hop", "conflicting", "temporal")))
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Partners of every passage among its 80 nearest (a dense list alone), gated and scored."""
+    """Partners of every passage out of its pool for each type of pair: other paper, same split, long enough, gated and scored."""
+    pool, own, vectors = _candidates(spark, sf)
+    best = lambda t: P.best_candidates(P.judged_candidates(pool, own, vectors, t, 100)).select(F.lit(t).alias("qtype"), "query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
+    return best("multi_hop").unionByName(best("conflicting")).unionByName(best("temporal"))
+
+
+@query(" UNION ALL ".join(rf"""(WITH {_CAND_SQL}, {_judged_sql(t)} SELECT 'pair:{t}:' || reason AS counter, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1)""" for t in ("multi_hop", "conflicting", "temporal")))
+def candidate_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What stops the candidates, by type of pair and gate."""
+    pool, own, vectors = _candidates(spark, sf)
+    part = lambda t: P.judged_candidates(pool, own, vectors, t, 100).where("reason is not null").groupBy(F.concat(F.lit(f"pair:{t}:"), "reason").alias("counter")).agg(F.count("*").alias("n"))
+    return part("multi_hop").unionByName(part("conflicting")).unionByName(part("temporal"))
+
+
+@query(rf"""WITH {_CHAIN_SQL}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  s AS (SELECT r.paper_id, h.i AS abstract_idx, r.ib AS chunk_idx, 3.0 * shared + least(only_b, 6) + coalesce(list_inner_product(x.v, y.v) / nullif(sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v)), 0), 0) AS score
+    FROM r JOIN h USING (paper_id) JOIN e x ON x.vec_id = h.i JOIN e y ON y.vec_id = r.ib WHERE reason IS NULL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s)
+  SELECT paper_id, abstract_idx, chunk_idx, rank, round(score, 6) AS score FROM t WHERE rank <= 12""")
+def chain_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve passages of each paper that chain best with its abstract."""
     own = _passages(spark, sf)
-    vectors = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.col("embedding").alias("vec")).join(own.select("chunk_idx"), "chunk_idx", "left_semi")
-    near = rank.top_k(rank.dense_scores(vectors, vectors.withColumnRenamed("chunk_idx", "query")), P.POOL)
-    pool = near.select("query", "chunk_idx", (1.0 / F.col("rank")).alias("bonus"), F.col("score").alias("dense"))
-    best = P.ranked_candidates(pool, own, "multi_hop")
-    return best.select("query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
+    best = P.chain_candidates(own, _vectors(spark, sf, own), "Abstract", 100)
+    return best.select("paper_id", "abstract_idx", "chunk_idx", F.col("rank").cast("long").alias("rank"), R6("score").alias("score"))
+
+
+_RULES_SQL = rf"""{_CHAIN_SQL}, lab AS (SELECT section, CASE section WHEN 'Results' THEN 'y' WHEN 'Methods' THEN 'n' ELSE 'maybe' END AS v FROM (SELECT DISTINCT section FROM pool)),
+  o AS (SELECT u.rule, r.paper_id, r.section, shared, sim, regexp_matches(r.section, '{P.RESTATING_SECTION}') AS restates,
+      CASE u.rule WHEN 'current' THEN regexp_matches(r.section, '{P.EVIDENCE_SECTION}') WHEN 'tighten' THEN regexp_matches(r.section, '{P.EVIDENCE_SECTION}') AND NOT regexp_matches(r.section, '{P.RESTATING_SECTION}')
+        WHEN 'blacklist' THEN NOT regexp_matches(r.section, '{P.NO_EVIDENCE}') AND NOT regexp_matches(r.section, '{P.RESTATING_SECTION}') ELSE coalesce(lab.v = 'y', false) END AS evidence
+    FROM r LEFT JOIN lab ON lab.section = r.section, (SELECT unnest(['current', 'tighten', 'blacklist', 'labels']) AS rule) u)"""
+
 
+@query(rf"""WITH {_RULES_SQL} SELECT rule, CASE WHEN NOT evidence THEN 'no_evidence_section' WHEN shared < 2 THEN 'no_shared_scientific_signal' WHEN sim >= 0.8 THEN 'near_duplicate_passages' ELSE 'pass' END AS reason, {_SPLIT_OF} AS split,
+    count(*) AS n, count(DISTINCT paper_id) AS papers, count(*) FILTER (WHERE restates) AS restating FROM (SELECT *, paper_id AS k FROM o) GROUP BY 1, 2, 3""")
+def chain_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain funnel under four rules of what counts as evidence, by split."""
+    label = F.when(F.col("b.section") == "Results", "y").when(F.col("b.section") == "Methods", "n").otherwise("maybe")
+    rows, parts = _chain(spark, sf), []
+    for rule in ("current", "tighten", "blacklist", "labels"):
+        why = P.chain_reason(evidence=P.section_rule(F.col("b.section"), rule, label))
+        parts.append(rows.select(F.lit(rule).alias("rule"), F.coalesce(why, F.lit("pass")).alias("reason"), F.col("b.paper_id").alias("p"), F.col("b.section").rlike(P.RESTATING_SECTION).alias("restates")))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy("rule", "reason", paper_split(F.col("p")).alias("split")).agg(F.count("*").alias("n"), F.count_distinct("p").alias("papers"), F.count_if("restates").alias("restating"))
 
-@query(rf"""WITH d AS (SELECT *, source AS k FROM documents) SELECT doc_id AS chunk_idx FROM d WHERE length(coalesce(text, '')) >= 500 AND {_SPLIT_OF} = 'test'""")
+
+@query(rf"""WITH {_POOL_SQL}, {_funnel_sql('multi_hop')}, p AS (SELECT least(pa, pb) AS x, greatest(pa, pb) AS y, count(*) AS n FROM r WHERE reason IS NULL GROUP BY 1, 2),
+  t AS (SELECT *, row_number() OVER (ORDER BY n DESC, x, y) AS i FROM p)
+  SELECT (SELECT count(*) FROM r) AS pairs, (SELECT count(*) FROM r WHERE reason IS NULL) AS passed, count(*) AS paper_pairs, (SELECT count(DISTINCT z) FROM (SELECT x AS z FROM p UNION ALL SELECT y FROM p)) AS papers,
+    string_agg(x || '+' || y || ':' || n, ' ' ORDER BY i) FILTER (WHERE i <= 5) AS top_pairs FROM t""")
+def pair_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs, passing ones, the papers they involve and the five pairs of papers that pass most."""
+    return P.pair_summary(P.all_pairs(_passages(spark, sf)).select("a", "b", P.cross_reason("multi_hop").alias("reason")))
+
+
+@query(rf"""WITH {_POOL_SQL}, f AS (SELECT *, length(text) >= 100 AS long, length(text) >= 100 AND regexp_matches(section, '{P.EVIDENCE_SECTION}') AND section NOT IN ('Abstract', 'Front matter') AS ev FROM pool),
+  o AS (SELECT paper_id, bool_or(section = 'Abstract') AS a, bool_or(ev) AS e, count(*) FILTER (WHERE ev) AS n, count(*) FILTER (WHERE long) AS l, count(*) FILTER (WHERE ev AND regexp_matches(section, '{P.RESTATING_SECTION}')) AS rs FROM f GROUP BY paper_id)
+  SELECT count(*) AS papers, count(*) FILTER (WHERE a) AS with_abstract, count(*) FILTER (WHERE e) AS with_evidence, count(*) FILTER (WHERE a AND e) AS with_both, sum(n)::BIGINT AS evidence_chunks, sum(l)::BIGINT AS long_chunks, sum(rs)::BIGINT AS restating_chunks FROM o""")
+def section_feasibility(spark: SparkSession, sf: str) -> DataFrame:
+    return P.section_feasibility(_passages(spark, sf), "Abstract", 100)
+
+
+@query(rf"""WITH {_POOL_SQL} SELECT section, count(*) AS n FROM pool WHERE length(text) >= 100 AND NOT regexp_matches(section, '{P.EVIDENCE_SECTION}') GROUP BY section""")
+def unmatched_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return P.unmatched_sections(_passages(spark, sf), 100)
+
+
+@query(rf"""WITH d AS (SELECT *, source AS k FROM documents) SELECT doc_id AS chunk_idx, md5('3:' || source || '::' || doc_id) AS draw FROM d WHERE length(coalesce(text, '')) >= 500 AND {_SPLIT_OF} = 'test'""")
 def sampling_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return P.sampling_pool(V.chunks(spark, sf), paper_split(F.col("paper_id")), "test", 0).select("chunk_idx")
+    """Membership and drawn order of the pool, seed 1 after two runs."""
+    return P.sampling_pool(V.chunks(spark, sf), paper_split(F.col("paper_id")), "test", 1, prior_runs=2).select("chunk_idx", "draw")
+
+
+@query(rf"""WITH s AS (SELECT source AS p, {_SPLIT_OF} AS split FROM (SELECT *, source AS k FROM documents)), o AS (SELECT p, bool_or(split = 'train') AS tr, bool_or(split = 'test') AS te FROM s GROUP BY p)
+  SELECT count(*) AS papers, count(*) FILTER (WHERE tr) AS train, count(*) FILTER (WHERE te) AS test, count(*) FILTER (WHERE tr AND te) AS shared, count(*) FILTER (WHERE NOT tr AND NOT te) AS uncovered FROM o""")
+def split_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Train and test have no paper in common and cover all."""
+    return P.split_isolation(V.chunks(spark, sf), paper_split(F.col("paper_id")))
 
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.VECTORS_SQL.replace('questions q', '(SELECT item_id AS query FROM benchmark) q')},
@@ -182,6 +262,6 @@ def sampling_pool(spark: SparkSession, sf: str) -> DataFrame:
   n AS (SELECT r.* FROM r JOIN a ON a.chunk_idx = r.source_idx JOIN w ON w.chunk_idx = r.chunk_idx
     WHERE rank <= 60 AND r.chunk_idx <> source_idx AND w.paper_id <> a.paper_id AND w.split = a.split AND w.chars >= 500)
   SELECT source_idx, arg_min(chunk_idx, rank) AS neighbour_idx, min(rank) AS rank FROM n GROUP BY source_idx""")
-def nearest_cross_paper_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """The neighbour of every chunk of the sampling pools, of the same split (``nearest_cross_paper`` asks for the benchmark's ids, in any split)."""
+def nearest_cross_paper(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour of every chunk of the sampling pools: of the 60 nearest, itself among them, the first of another paper and the same split that is long enough."""
     return P.nearest_cross_paper(V.chunks(spark, sf), V.chunk_vectors(spark, sf), paper_split(F.col("paper_id")))

@@ -21,3 +21,8 @@ def query(sql: str | None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def sql_list(items) -> str:
+    """A list of texts as a SQL literal."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"

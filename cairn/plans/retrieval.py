@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import evaluate, rank, route
-from ..operators.index import index_text, invariant_report, invert
+from ..operators.index import Encoder, hashed_words, index_text, invariant_report, rebuilt
 from ..operators.retrieve import retrieve
 from . import views as V
-from .registry import query
+from .registry import query, sql_list
 
 R6 = lambda c: F.round(c, 6)
 
@@ -25,20 +27,20 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.INVERTED_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms""")
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return invert(V.chunks(spark, sf)).terms.select("term", "df", R6("idf").alias("idf"))
+    return V.inverted(spark, sf).terms.select("term", "df", R6("idf").alias("idf"))
 
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {V.INVERTED_SQL}, {V.bm25_sql('questions', 'bm25')}
   SELECT query, rank, chunk_idx, round(score, 6) AS score FROM bm25""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     chunks = V.chunks(spark, sf)
-    top = rank.bm25_top_k(invert(chunks), V.questions(spark, sf).select("query", "text"), chunks, route.BM25_K)
+    top = rank.bm25_top_k(V.inverted(spark, sf), V.questions(spark, sf).select("query", "text"), chunks, route.BM25_K)
     return top.select("query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
 
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {V.VECTORS_SQL}, {V.DENSE_SQL} SELECT query, rank, chunk_idx, round(score, 6) AS score FROM dense""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    top = rank.top_k(rank.dense_scores(V.chunk_vectors(spark, sf), V.query_vectors(spark, sf)), route.DENSE_K)
+    top = rank.dense_top_k(V.chunk_vectors(spark, sf), V.query_vectors(spark, sf), route.DENSE_K)
     return top.select("query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
 
 
@@ -60,8 +62,8 @@ def cosine_by_label(spark: SparkSession, sf: str) -> DataFrame:
   SELECT query, rank, chunk_idx, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     chunks, asked = V.chunks(spark, sf), V.questions(spark, sf).select("query", "text")
-    dense = rank.top_k(rank.dense_scores(V.chunk_vectors(spark, sf), V.query_vectors(spark, sf)), route.DENSE_K)
-    lexical = rank.bm25_top_k(invert(chunks), asked, chunks, route.BM25_K)
+    dense = rank.dense_top_k(V.chunk_vectors(spark, sf), V.query_vectors(spark, sf), route.DENSE_K)
+    lexical = rank.bm25_top_k(V.inverted(spark, sf), asked, chunks, route.BM25_K)
     lists = dense.select("query", F.lit(0).alias("list_no"), "chunk_idx", "rank").unionByName(lexical.select("query", F.lit(1).alias("list_no"), "chunk_idx", "rank"))
     fused = rank.fuse(lists).where(F.col("rank") <= route.DENSE_K)
     return fused.select("query", F.col("rank").cast("long").alias("rank"), "chunk_idx", R6("score").alias("score"))
@@ -77,7 +79,7 @@ _OVERLAP = r"""len(list_intersect(list_distinct(regexp_extract_all(lower(q.text)
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
     chunks = V.chunks(spark, sf)
     parts = V.subqueries(spark, sf).select(F.struct("query", "sub").alias("query"), "text")
-    lists = rank.bm25_top_k(invert(chunks), parts, chunks, route.BM25_K)
+    lists = rank.bm25_top_k(V.inverted(spark, sf), parts, chunks, route.BM25_K)
     return rank.pool(lists.select(F.col("query.query").alias("query"), F.col("query.sub").alias("sub"), "chunk_idx", "rank"))
 
 
@@ -123,7 +125,7 @@ def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
     chunks, asked = V.chunks(spark, sf), V.questions(spark, sf)
     label = F.element_at(F.array(*[F.lit(x) for x in _ROUND]), (F.col("query") % 5 + 1).cast("int"))
     routed = asked.withColumn("route", route.decision(label, F.lit(1.0), F.lit("round")))
-    return retrieve(routed, V.subqueries(spark, sf), invert(chunks), chunks, V.chunk_vectors(spark, sf), V.query_vectors(spark, sf))
+    return retrieve(routed, V.subqueries(spark, sf), V.inverted(spark, sf), chunks, V.chunk_vectors(spark, sf), V.query_vectors(spark, sf))
 
 
 @query(rf"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {_STRATEGY} SELECT query, rank, chunk_idx FROM retrieved""")
@@ -174,7 +176,7 @@ def paper_recall(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: BM25 top 8 of every question against its gold, over ALL and each type."""
     chunks, asked = V.chunks(spark, sf), V.questions(spark, sf)
-    top = rank.bm25_top_k(invert(chunks), asked.select("query", "text"), chunks, 8)
+    top = rank.bm25_top_k(V.inverted(spark, sf), asked.select("query", "text"), chunks, 8)
     recall = evaluate.recall_of(top, V.gold(spark, sf), asked, "chunk_idx").join(asked.select("query", "qtype"), "query")
     report = recall.groupingSets([[], [F.col("qtype")]], "qtype").agg(F.count("*").alias("n"), F.count("recall").alias("n_scored"), R6(F.avg("recall")).alias("recall"))
     return report.withColumn("qtype", F.coalesce("qtype", F.lit("ALL")))
@@ -223,28 +225,72 @@ def router_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     return _ask(spark, sf).select("query", route.heuristic(F.col("text")).alias("r")).select("query", "r.label", "r.confidence")
 
 
-_REPLY = r"""reply AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Sure: {"label": "SIMPLE", "confidence": 0.9}' WHEN 1 THEN '{"label": "MULTI_HOP", "confidence": 1.7}'
-    WHEN 2 THEN '{"label": "OTHER", "confidence": 0.5}' WHEN 3 THEN 'no json here' WHEN 4 THEN '{"label": "UNCERTAIN", "confidence": -0.2}' ELSE '{"label": "SIMPLE"}' END AS reply FROM events)"""
+_REPLIES = (
+    'Sure: {"label": "SIMPLE", "confidence": 0.9}', '{"label": "MULTI_HOP", "confidence": 1.7}', '{"label": "OTHER", "confidence": 0.5}', "no json here", '{"label": "UNCERTAIN", "confidence": -0.2}',
+    '{"label": "SIMPLE"}', '{"label": "multi_hop", "confidence": "0.25"} so', '{"label": "SIMPLE", "confidence": null}', '{"label": "SIMPLE", "confidence": "high"}', '{"confidence": 0.5}', '{"label": "SIMPLE", ',
+)
+_READ = rf"""reply AS (SELECT event_id, {sql_list(_REPLIES)}[event_id % {len(_REPLIES)} + 1] AS reply FROM events), found AS (SELECT event_id, regexp_extract(reply, '(?s)\{{.*\}}') AS t FROM reply),
+  j AS (SELECT event_id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM found),
+  f AS (SELECT event_id, upper(json_extract_string(j, '$.label')) AS label, CASE WHEN NOT list_contains(json_keys(j), 'confidence') THEN 0 ELSE try_cast(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence FROM j),
+  read AS (SELECT event_id, coalesce(label IN ('SIMPLE', 'MULTI_HOP', 'UNCERTAIN') AND isfinite(confidence), false) AS good, label, confidence FROM f)"""
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = F.array(*[F.lit(x) for x in (
-        'Sure: {"label": "SIMPLE", "confidence": 0.9}', '{"label": "MULTI_HOP", "confidence": 1.7}', '{"label": "OTHER", "confidence": 0.5}', "no json here",
-        '{"label": "UNCERTAIN", "confidence": -0.2}', '{"label": "SIMPLE"}')])
-    return V.table(spark, sf, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("reply"))
-
+    kinds = F.array(*[F.lit(x) for x in _REPLIES])
+    return V.table(spark, sf, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % len(_REPLIES) + 1).cast("int")).alias("reply"))
 
-_READ = r"""read AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'MULTI_HOP' ELSE 'UNCERTAIN' END AS label,
-    CAST(CASE event_id % 6 WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS confidence,
-    CASE WHEN event_id % 6 IN (0, 1, 4) THEN 'llm' ELSE 'llm:parse_fail' END AS source FROM events)"""
 
-
-@query(rf"""WITH {_READ} SELECT * FROM read""")
+@query(rf"""WITH {_READ} SELECT event_id, CASE WHEN good THEN label ELSE 'UNCERTAIN' END AS label, CASE WHEN good THEN greatest(least(confidence, 1), 0) ELSE 0 END AS confidence, CASE WHEN good THEN 'llm' ELSE 'llm:parse_fail' END AS source FROM read""")
 def router_llm_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Cached model replies of six shapes, read with the fallback to an uncertain parse failure."""
+    """Cached model replies of several shapes, read with the fallback to an uncertain parse failure."""
     return _replies(spark, sf).select("event_id", route.llm_reply(F.col("reply")).alias("r")).select("event_id", "r.label", "r.confidence", "r.source")
 
 
+@query(rf"""WITH {_ASK}, {_READ}, h AS (SELECT query, {_HITS} AS hits FROM ask),
+  r AS (SELECT query, CASE WHEN hits >= 1 THEN 'MULTI_HOP' ELSE 'SIMPLE' END AS label, CASE WHEN hits >= 2 THEN 0.8 WHEN hits = 1 THEN 0.55 ELSE 0.7 END AS confidence FROM h)
+  SELECT 'A' AS code, query, 'VANILLA' AS label, 1.0::DOUBLE AS confidence, 'fixed:VANILLA' AS source FROM ask UNION ALL SELECT 'G', query, 'MULTI_HOP', 1.0, 'fixed:MULTI_HOP' FROM ask
+  UNION ALL SELECT 'C', query, CASE WHEN good THEN label ELSE 'UNCERTAIN' END, CASE WHEN good THEN greatest(least(confidence, 1), 0) ELSE 0 END, CASE WHEN good THEN 'llm' ELSE 'llm:parse_fail' END FROM ask JOIN read ON event_id = query
+  UNION ALL SELECT 'C', query, 'UNCERTAIN', 0.0, 'llm:parse_fail' FROM ask WHERE query NOT IN (SELECT event_id FROM read)
+  UNION ALL SELECT 'E', query, ['SIMPLE', 'MULTI_HOP', 'UNCERTAIN'][query % 3 + 1], 1.0, 'oracle' FROM ask
+  UNION ALL SELECT 'H', query, CASE WHEN confidence >= 0.7 THEN label ELSE 'UNCERTAIN' END, CASE WHEN confidence >= 0.7 THEN confidence ELSE 1.0 END, CASE WHEN confidence >= 0.7 THEN 'heuristic' ELSE 'fixed:UNCERTAIN (escalated from heuristic)' END FROM r""")
+def router_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question under five experiments, their routers made by name: fixed, model, oracle, and one that escalates."""
+    asked = _ask(spark, sf)
+    label = F.element_at(F.array(*[F.lit(x) for x in route.LABELS]), (F.col("query") % 3 + 1).cast("int"))
+    replies, known = _replies(spark, sf).withColumnRenamed("event_id", "query"), asked.select(F.col("text").alias("question"), label.alias("label"))
+    part = lambda code: route.experiment(asked, code, replies, known).select(F.lit(code).alias("code"), "query", "route.label", "route.confidence", "route.source")
+    return reduce(DataFrame.unionByName, map(part, "AGCEH"))
+
+
+_ASKED_PARTS = ('Sure: ["first part?", " ", "second part?"]', '["one", "two", "three", "four"]', "no list", '["cut', "[1, null, {}]", '[2, "kept"]', "[]")
+
+
+@query(rf"""WITH r AS (SELECT event_id, {sql_list(_ASKED_PARTS)}[event_id % {len(_ASKED_PARTS)} + 1] AS reply FROM events), t AS (SELECT event_id, regexp_extract(reply, '(?s)\[.*\]') AS t FROM r),
+  j AS (SELECT event_id, CASE WHEN json_valid(t) THEN list_filter(from_json(t, '["JSON"]'), lambda x: json_type(x) = 'VARCHAR' AND trim(json_extract_string(x, '$')) <> '') END AS items FROM t),
+  k AS (SELECT event_id, CASE WHEN len(coalesce(items, [])) > 0 THEN list_transform(items[1:3], lambda x: json_extract_string(x, '$')) ELSE ['Question ' || event_id] END AS parts FROM j)
+  SELECT event_id, len(parts) AS n, array_to_string(parts, '|') AS parts FROM k""")
+def query_decompose(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of several shapes read as sub-questions, with the question itself where nothing is usable."""
+    i = F.col("event_id")
+    reply = F.element_at(F.array(*[F.lit(x) for x in _ASKED_PARTS]), (i % len(_ASKED_PARTS) + 1).cast("int"))
+    parts = V.table(spark, sf, "events").select("event_id", route.decomposed(reply, F.concat(F.lit("Question "), i)).alias("p"))
+    return parts.select("event_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("parts"))
+
+
+_DIM = 16
+_ENCODED = lambda text: rf"""list_transform(range({_DIM}), lambda i: len(list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'), lambda t: ('0x' || substr(md5(t), 1, 4))::INT % {_DIM} = i))::DOUBLE)"""
+
+
+@query(rf"""WITH {V.CHUNKS_SQL}, t AS (SELECT 'document' AS kind, chunk_idx AS id, {_ENCODED("title || ' - ' || section || chr(10) || text")} AS v FROM chunks UNION ALL SELECT 'query', item_id, {_ENCODED("'Represent this: ' || text")} FROM benchmark),
+  u AS (SELECT kind, id, v, sqrt(list_inner_product(v, v)) AS n FROM t) SELECT kind, id, unnest(range({_DIM})) AS i, round(unnest(v) / greatest(n, 1e-300), 6) AS x FROM u""")
+def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks and questions through the offline encoder, questions behind a prefix; the chunks' vectors are those of an index built anew."""
+    encoder = Encoder(hashed_words(_DIM), "Represent this: ")
+    docs = rebuilt(V.chunks(spark, sf), encoder).select(F.lit("document").alias("kind"), F.col("chunk_idx").alias("id"), "vec")
+    asked = V.questions(spark, sf).select(F.lit("query").alias("kind"), F.col("query").alias("id"), encoder.queries(F.col("text")).alias("vec"))
+    return docs.unionByName(asked).select("kind", "id", F.posexplode("vec").alias("i", "x")).select("kind", "id", F.col("i").cast("long").alias("i"), R6("x").alias("x"))
+
+
 @query(r"""SELECT item_id AS query, ['SIMPLE', 'MULTI_HOP', 'UNCERTAIN'][item_id % 3 + 1] AS label, 'oracle' AS source FROM benchmark""")
 def router_oracle_lookup(spark: SparkSession, sf: str) -> DataFrame:
     asked = V.questions(spark, sf).select("query", F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("\t ")), F.lit("\n")).alias("text"))
@@ -259,19 +305,3 @@ def router_oracle_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def router_escalating(spark: SparkSession, sf: str) -> DataFrame:
     r = route.escalating(route.heuristic(F.col("text")), route.fixed("UNCERTAIN"))
     return _ask(spark, sf).select("query", r.alias("r")).select("query", "r.label", "r.escalated", "r.source")
-
-
-@query(rf"""WITH {V.CHUNKS_SQL}, {V.VECTORS_SQL.replace('questions q', '(SELECT item_id AS query FROM benchmark) q')},
-  a AS (SELECT c.chunk_idx, c.paper_id, v.vec FROM chunks c JOIN chunk_vectors v USING (chunk_idx) WHERE c.chunk_idx IN (SELECT item_id FROM benchmark)),
-  s AS (SELECT a.chunk_idx AS source_idx, a.paper_id AS source_paper, b.chunk_idx, b.paper_id, b.text, list_inner_product(a.vec, v.vec) AS score FROM a, chunks b JOIN chunk_vectors v USING (chunk_idx) WHERE a.chunk_idx <> b.chunk_idx),
-  r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s),
-  k AS (SELECT * FROM r WHERE rank <= 60 AND paper_id <> source_paper AND length(text) >= 500)
-  SELECT source_idx, arg_min(chunk_idx, rank) AS neighbour_idx, min(rank) AS rank FROM k GROUP BY source_idx""")
-def nearest_cross_paper(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of the 60 nearest chunks that belongs to another paper and is long enough; the cap comes before the filters."""
-    chunks, vectors = V.chunks(spark, sf), V.chunk_vectors(spark, sf)
-    asked = vectors.withColumnRenamed("chunk_idx", "query").join(V.questions(spark, sf).select("query"), "query", "left_semi")
-    near = rank.top_k(rank.dense_scores(vectors, asked).where("chunk_idx <> query"), 60)
-    own = chunks.select(F.col("chunk_idx").alias("query"), F.col("paper_id").alias("source_paper"))
-    fit = near.join(chunks.select("chunk_idx", "paper_id", F.length("text").alias("chars")), "chunk_idx").join(own, "query").where((F.col("paper_id") != F.col("source_paper")) & (F.col("chars") >= 500))
-    return fit.groupBy(F.col("query").alias("source_idx")).agg(F.min_by("chunk_idx", "rank").alias("neighbour_idx"), F.min("rank").cast("long").alias("rank"))

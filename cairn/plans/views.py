@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.index import InvertedFile, invert, load_inverted
+from ..operators.route import decomposed
+from ..sources.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +38,21 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).select("query", "text", tokens(F.col("text")).alias("ts"))
     key = F.array_max(F.transform("ts", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     asked = asked.select("query", F.col("text").alias("passage"), key.getField("t").alias("term"))
-    held = chunks(spark, sf_dir).select("chunk_idx", "paper_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return held.join(asked, "term").where(F.contains("text", "passage")).select("query", "chunk_idx", "paper_id").distinct()
+    likely = inverted(spark, sf_dir).postings.select("term", "chunk_idx").join(asked, "term")
+    return likely.join(chunks(spark, sf_dir), "chunk_idx").where(F.contains("text", "passage")).select("query", "chunk_idx", "paper_id").distinct()
+
+
+_INVERTED: dict[tuple[str, str], str] = {}
+
+
+def inverted(spark: SparkSession, sf_dir: str) -> InvertedFile:
+    """The inverted file of the chunks, written once a session to the shared folder and read by every query that ranks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INVERTED:
+        path = shared_folder(spark, "inverted")
+        invert(chunks(spark, sf_dir), path)
+        _INVERTED[key] = path
+    return load_inverted(spark, _INVERTED[key])
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +70,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, sub, text): a question's first three sentences stand for its cached decomposition."""
-    parts = F.slice(F.filter(F.split("text", r"\. |\n"), lambda p: F.trim(p) != ""), 1, 3)
-    return questions(spark, sf_dir).select("query", F.posexplode(parts).alias("sub", "text"))
+    """(query, sub, text): a cached reply that lists a question's sentences stands for the model's decomposition."""
+    reply = F.concat(F.lit("Sub-questions: "), F.to_json(F.split("text", r"\. |\n")))
+    return questions(spark, sf_dir).select("query", F.posexplode(decomposed(reply, F.col("text"))).alias("sub", "text"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +108,12 @@ SUBS_SQL = r"""subs AS (
     SELECT query, list_filter(regexp_split_to_array(text, '\. |\n'), lambda p: trim(p) <> '')[1:3] AS p FROM questions))"""
 INVERTED_SQL = r"""toks AS (SELECT chunk_idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM chunks),
 lengths AS (SELECT chunk_idx, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS dl FROM chunks),
-postings AS (SELECT term, chunk_idx, count(*) AS tf FROM toks GROUP BY term, chunk_idx),
+postings AS MATERIALIZED (SELECT term, chunk_idx, count(*) AS tf FROM toks GROUP BY term, chunk_idx),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
+mean_raw AS (SELECT avg(raw) AS mean FROM raws),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raws, mean_raw)"""
 
 
 def bm25_sql(queries: str, name: str, keys: str = "query") -> str:

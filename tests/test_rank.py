@@ -23,7 +23,7 @@ def vectors(spark):
 
 def test_dense_and_lexical(spark, chunks, vectors):
     q = spark.createDataFrame([(1, [0.0, 1.0, 0.0])], "query long, vec array<float>")
-    assert rank.top_k(rank.dense_scores(vectors, q), 1).first().chunk_idx == 1
+    assert rank.dense_top_k(vectors, q, 1).first().chunk_idx == 1
     asked = spark.createDataFrame([(1, "cepheid hubble")], "query long, text string")
     top = rank.bm25_top_k(invert(chunks), asked, chunks, 3).orderBy("rank").collect()
     assert [r.chunk_idx for r in top] == [2, 0, 1] and top[1].score == 0.0
@@ -106,7 +106,7 @@ def test_oracle_misses_are_errors(spark):
     with pytest.raises(Exception, match="no oracle label"):
         route.oracle(asked, known.where("false")).collect()
     with pytest.raises(ValueError):
-        route.named("compass", F.lit("x"))
+        route.routed(spark.createDataFrame([(1, "x")], "query long, text string"), "compass")
 
 
 def test_index_invariants(spark, chunks, vectors):
