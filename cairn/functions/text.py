@@ -73,6 +73,23 @@ def greedy_array(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Characters with a short escape in JSON.
+JSON_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string literal in ASCII: what is not is written as its UTF-16 units in hex."""
+
+    def one(c: Column) -> Column:
+        out = F.when(c.rlike(r"[^\x20-\x7f]"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "([0-9a-f]{4})", r"\\u$1")).otherwise(c)
+        for k, v in JSON_ESCAPES.items():
+            out = F.when(c == k, F.lit(v)).otherwise(out)
+        return out
+
+    special = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[^\x20-\x7f]|[\"\\\\]"), special).otherwise(text), F.lit('"'))
+
+
 def without_comments(json: Column) -> Column:
     """JSON text without // comments to the line's end."""
     return F.regexp_replace(json, r"//[^\n]*", "")

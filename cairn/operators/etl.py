@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import noise_fraction
+
 # Heading and section patterns and names.
 HEADING = r"^(?:\d{1,2}(?:\.\d{1,2}){0,2}\.?|[IVX]{1,4}\.)\s+[A-Z][\p{L}\p{N}_\s,:\-–()/']{3,80}$"
 NUMBER_PREFIX = r"^(?:\d{1,2}(?:\.\d{1,2}){0,2}\.?|[IVX]{1,4}\.)\s+"
@@ -116,6 +121,61 @@ def build_chunks(found: DataFrame, titles: DataFrame, paragraph_break: str = r"\
     return numbered.join(titles, "paper_id", "left").select("paper_id", "chunk_no", "chunk_id", "title", "section", "text")
 
 
+def parse_records(records: DataFrame, files: DataFrame, extract: Callable[[str], list[tuple[str, str]]]) -> tuple[DataFrame, DataFrame]:
+    """records (paper_id, abstract) and files (paper_id, content) -> (sections, failures (paper_id, reason)).
+
+    ``extract`` is pluggable Python that gives the (section, text) pairs of one file; what it raises becomes the record's
+    reason, and a record without a file fails as such. The metadata's abstract replaces parsed front matter and abstract.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for paper, content in zip(pdf.paper_id, pdf.content, strict=True):
+                if content is None:
+                    out.append((paper, None, None, None, "no file found"))
+                    continue
+                try:
+                    found = [(paper, i, name, text, None) for i, (name, text) in enumerate(extract(content))]
+                except Exception as error:  # any fault of one file is that record's failure, not the run's
+                    found = [(paper, None, None, None, str(error))]
+                out += found or [(paper, None, None, None, None)]
+            yield pd.DataFrame(out, columns=["paper_id", "section_no", "section", "text", "reason"])
+
+    kind = dict(records.dtypes)["paper_id"]
+    parsed = records.select("paper_id").join(files.select("paper_id", "content"), "paper_id", "left").mapInPandas(run, f"paper_id {kind}, section_no long, section string, text string, reason string")
+    failures = parsed.where("reason is not null").select("paper_id", "reason")
+    sound = records.join(failures.select("paper_id"), "paper_id", "left_anti")
+    return with_abstract(parsed.where("section is not null").select("paper_id", "section_no", "section", "text"), sound), failures
+
+
+def corpus_summary(papers: DataFrame, chunks: DataFrame, split: Column, top: int = 6) -> DataFrame:
+    """One row about papers (paper_id, published) and chunks: counts, time span in days, papers and long chunks of the test split,
+    the most frequent sections of long chunks, and warnings where the corpus is too small, short or lopsided for a benchmark."""
+    day = F.to_date(F.substring("published", 1, 10))
+    own = papers.select("paper_id", day.alias("d"), split.alias("split"))
+    p = own.agg(F.count("*").alias("papers"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count_if(F.col("split") == "test").alias("test_papers"))
+    year = own.groupBy(F.year("d").alias("y")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most_of_a_year"))
+    long = F.length("text") >= LONG_CHUNK
+    c = chunks.agg(F.count("*").alias("chunks"), F.count_if(long).alias("long_chunks"), F.count_if(long & (split == "test")).alias("long_test_chunks"))
+    best = chunks.where(long).groupBy("section").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "section").limit(top)
+    named = F.struct((-F.col("n")).alias("n"), "section", F.concat("section", F.lit(":"), "n").alias("line"))
+    s = best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["line"]), " ").alias("top_sections"))
+    met = p.crossJoin(year).crossJoin(c).crossJoin(s).withColumn("span_days", F.datediff("last_day", "first_day"))  # one-row tables
+    warn = F.array(
+        F.when(F.col("test_papers") < 25, "few_test_papers"), F.when(F.col("span_days") < 365, "short_span"), F.when(F.col("most_of_a_year") > 0.6 * F.col("papers"), "one_year_dominates"),
+    )
+    return met.withColumn("warnings", F.array_join(F.filter(warn, lambda w: w.isNotNull()), ","))
+
+
+def noisy_gold(questions: DataFrame, chunks: DataFrame, limit: float = NOISE_LIMIT) -> DataFrame:
+    """(id, qtype, noise) of accepted questions whose noisiest gold chunk reaches the limit; a chunk that is missing has no noise."""
+    wanted = questions.where(F.col("status") == "accepted").select("id", "qtype", F.explode("gold_chunk_ids").alias("chunk_id"))
+    met = wanted.join(chunks.select("chunk_id", noise_fraction(F.col("text")).alias("noise")), "chunk_id", "left")
+    most = met.groupBy("id", "qtype").agg(F.round(F.max(F.coalesce("noise", F.lit(0.0))), 2).alias("noise"))
+    return most.where(F.col("noise") >= limit)
+
+
 def parse_failures(records: DataFrame, texts: DataFrame) -> DataFrame:
     """(paper_id, reason) of records whose text is missing or empty: what stands against publishing an index."""
     met = records.select("paper_id").join(texts.select("paper_id", "text"), "paper_id", "left")

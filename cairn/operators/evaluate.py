@@ -16,6 +16,7 @@ from .route import LABELS
 
 EPS = 1e-9
 REPS, PAIRED_REPS, CLUSTER_REPS, MIN_CLUSTERS, SEED = 1000, 2000, 2000, 5, 0
+DRAWS = 4_000_000  # of one piece of the matrix of draws
 
 
 def set_recall(gold: Column, found: Column) -> Column:
@@ -44,14 +45,24 @@ def stratified(rows: DataFrame) -> DataFrame:
     return report.withColumn("qtype", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("qtype"))).drop("_all")
 
 
+def resampled(weights: np.ndarray, counts: np.ndarray, reps: int, seed: int) -> tuple[float, float]:
+    """Percentile interval of sum(weights) / sum(counts) when units are drawn with replacement: one matrix of draws becomes a
+    matrix of how often each unit is drawn, and both sums are products with it. Plain values are units of count 1."""
+    n, draw, means = len(weights), np.random.RandomState(seed), []
+    for rows in np.array_split(np.arange(reps), max(1, reps * n // DRAWS)):
+        drawn = draw.randint(0, n, (len(rows), n)) + np.arange(len(rows))[:, None] * n
+        often = np.bincount(drawn.ravel(), minlength=drawn.size).reshape(drawn.shape)
+        means.append(often @ weights / (often @ counts))
+    low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
+    return float(low), float(high)
+
+
 def bootstrap_means(values: np.ndarray, reps: int = REPS, seed: int = SEED) -> tuple[float, float, float]:
     """Mean with a percentile interval; one value has no width, none gives NaN."""
-    if len(values) < 2:
-        return (float(values[0]),) * 3 if len(values) else (np.nan,) * 3
-    draw = np.random.RandomState(seed)
-    means = [draw.choice(values, len(values)).mean() for _ in range(reps)]
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(values.mean()), float(low), float(high)
+    if not len(values):
+        return (np.nan,) * 3
+    mean = float(values.mean())
+    return (mean, *resampled(values, np.ones(len(values)), reps, seed)) if len(values) > 1 else (mean,) * 3
 
 
 def bootstrap_clusters(sums: np.ndarray, counts: np.ndarray, reps: int = CLUSTER_REPS, seed: int = SEED) -> tuple[float, float, float]:
@@ -59,12 +70,7 @@ def bootstrap_clusters(sums: np.ndarray, counts: np.ndarray, reps: int = CLUSTER
     if not len(sums):
         return (np.nan,) * 3
     mean = float(sums.sum() / counts.sum())
-    if len(sums) < MIN_CLUSTERS:
-        return mean, np.nan, np.nan
-    draw = np.random.RandomState(seed)
-    rows = draw.randint(0, len(sums), (reps, len(sums)))
-    low, high = np.percentile(sums[rows].sum(1) / counts[rows].sum(1), [2.5, 97.5])
-    return mean, float(low), float(high)
+    return (mean, *resampled(sums, counts, reps, seed)) if len(sums) >= MIN_CLUSTERS else (mean, np.nan, np.nan)
 
 
 def bootstrap(rows: DataFrame, by: list[str], value: str, order: str, reps: int = REPS) -> DataFrame:
@@ -92,6 +98,25 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], value: str, cluster: str,
     return sums.groupBy(*by).applyInPandas(one, f"{kinds}, n_clusters long, mean double, lo double, hi double")
 
 
+def gold_cluster(gold_papers: Column, own_id: Column) -> Column:
+    """The cluster of a question: its first gold paper, or itself without any."""
+    return F.coalesce(F.get(gold_papers, F.lit(0)).cast("string"), own_id.cast("string"))
+
+
+def report_rows(rows: DataFrame, questions: DataFrame, order: tuple[str, ...] = ("simple", "multi_hop", "conflicting", "temporal", "chain")) -> DataFrame:
+    """The report: ``stratified`` with both intervals (lo, hi by question; clo, chi by cluster) and ``place``, the order of its
+    rows: ALL first, then the types in theirs. A question's cluster comes from its gold papers; a result without a question is
+    its own cluster."""
+    cluster = questions.select("id", gold_cluster(F.col("gold_paper_ids"), F.col("id")).alias("_c"))
+    known = rows.drop("cluster").join(cluster, "id", "left").withColumn("cluster", F.coalesce("_c", F.col("id").cast("string"))).drop("_c")
+    both = known.withColumn("qtype", F.explode(F.array(F.lit("ALL"), F.col("qtype"))))
+    by = ["experiment", "qtype"]
+    q = bootstrap(both, by, "recall", "id").select(*by, F.col("lo").alias("recall_lo"), F.col("hi").alias("recall_hi"))
+    c = cluster_bootstrap(both, by, "recall", "cluster", "id").select(*by, F.col("lo").alias("recall_clo"), F.col("hi").alias("recall_chi"))
+    place = F.array_position(F.array(*[F.lit(t) for t in ("ALL", *order)]), F.col("qtype"))
+    return stratified(known).join(q, by, "left").join(c, by, "left").withColumn("place", place)
+
+
 def hashed_bootstrap(rows: DataFrame, by: list[str], value: str, order: str, reps: int) -> DataFrame:
     """The portable bootstrap: the draw for (replicate, position) comes from md5, so any SQL engine gives the same interval.
 

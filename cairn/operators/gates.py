@@ -5,11 +5,16 @@ Reasons accumulate in a fixed order where a question is judged or finalised, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WORD, greedy_object, normal_question, review_mode, without_comments
+from ..functions.text import NOT_WORD, greedy_object, normal_question, review_mode, wait_seconds, without_comments
+from ..sources.jsonl import QUESTION
+from .runlog import DEFAULT_WAIT
 
 # Least gold chunks by type, types that need two papers, names that are no provenance.
 MIN_GOLD = {"simple": 1, "multi_hop": 2, "conflicting": 2, "temporal": 2, "chain": 2}
@@ -77,6 +82,67 @@ def simple_reason(question: Column) -> Column:
     return F.when(question.rlike(r"(?i)\b(passages?|texts?)\b"), "simple_mentions_source").when(question.rlike(r"(?i)\bwhich reference\b"), "citation_trivia")
 
 
+def prompt_passages(passages: Column, most: int, head: str = "[%d] ") -> Column:
+    """Passages as a prompt shows them: numbered, each cut to its first ``most`` characters (1200 for a generator, 1500 for a judge)."""
+    return F.array_join(F.transform(passages, lambda p, i: F.concat(F.format_string(head, i + 1), F.substring(p, 1, most))), "\n\n")
+
+
+def replayed(attempts: DataFrame) -> DataFrame:
+    """A generation run replayed from cached replies. attempts (qtype, paired, generated, judged) -> plus question, answer and
+    ``outcomes``, the counters that the attempt raises in their order.
+
+    A pair-type attempt without a partner ends as ``no_valid_pair`` or ``no_valid_chain_pair``; an unusable reply as
+    ``generator_returned_none``; a structural or simple-question gate under its own name; a null judge reply means that the judge
+    gave none. Verdict reasons follow, or ``passed``. Every attempt counts as such, survivors also as ``survived``.
+    """
+    qa, qtype = qa_parse(F.col("generated")), F.col("qtype")
+    read = F.from_json(greedy_object(F.col("generated")), "passage_1_contribution string, passage_2_contribution string, joint_reason string, same_quantity boolean")
+    rows = attempts.withColumn("_qa", qa).withColumn("_g", read).withColumn("_why", verdict_reasons(judge_reply(F.col("judged")), qtype))
+    structural = structural_reason(qtype, F.col("_qa.question"), F.col("_g.passage_1_contribution"), F.col("_g.passage_2_contribution"), F.col("_g.joint_reason"), F.col("_g.same_quantity"))
+    one = lambda name: F.array(F.lit(name))
+    early = F.when((qtype != "simple") & ~F.col("paired"), F.when(qtype == "chain", one("no_valid_chain_pair")).otherwise(one("no_valid_pair")))
+    early = early.when(F.col("_qa").isNull(), one("generator_returned_none"))
+    early = early.when((qtype == "simple") & simple_reason(F.col("_qa.question")).isNotNull(), F.array(simple_reason(F.col("_qa.question"))))
+    early = early.when(structural.isNotNull(), F.array(structural)).when(F.col("judged").isNull(), F.array().cast("array<string>"))
+    met = rows.withColumn("_out", F.coalesce(early, F.when(F.size("_why") > 0, F.col("_why")).otherwise(one("passed")))).withColumn("survived", F.array_contains("_out", "passed"))
+    tried = F.array(F.concat(F.lit("attempt:"), qtype))
+    outcomes = F.concat("_out", tried, F.when(F.col("survived"), F.array(F.concat(F.lit("survived:"), qtype))).otherwise(F.array().cast("array<string>")))
+    return met.withColumn("outcomes", outcomes).withColumn("question", F.col("_qa.question")).withColumn("answer", F.col("_qa.answer")).drop("_qa", "_g", "_why", "_out")
+
+
+def validation_json(verdict: Column, ok: Column, reasons: Column, judge_model: str, generator_model: str) -> Column:
+    """The provenance that a saved question carries: verdict, its reasons, and both models by name."""
+    return F.to_json(F.struct(ok.alias("ok"), reasons.alias("reasons"), verdict.alias("verdict"), F.lit(judge_model).alias("judge_model"), F.lit(generator_model).alias("generator_model")))
+
+
+def audited(questions: DataFrame, done: DataFrame, replies: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """An audit that goes on where it stopped, replayed. questions (id, qtype, ``order``), done (id), replies (id, reply, quota: the
+    provider's message where it refused) -> (new rows id, qtype, ok, reasons; one row already_done, new, total, stopped_before,
+    suggested_wait). The first refusal in the order stops the audit; what comes after it waits for the next run."""
+    todo = questions.join(done.select("id").distinct(), "id", "left_anti").join(replies.select("id", "reply", "quota"), "id", "left")
+    stop = todo.where(F.col("quota").isNotNull()).agg(F.min(F.struct(F.col(order).alias("o"), F.col("id").alias("id"), F.col("quota").alias("q"))).alias("s"))
+    before = todo.crossJoin(F.broadcast(stop)).where(F.col("s").isNull() | (F.col(order) < F.col("s.o")))  # one row
+    fresh = before.withColumn("reasons", verdict_reasons(judge_reply(F.col("reply")), F.col("qtype"))).select("id", "qtype", (F.size("reasons") == 0).alias("ok"), "reasons")
+    known = questions.select("id").join(done.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("already_done"))
+    sums = known.crossJoin(fresh.agg(F.count("*").alias("new"))).crossJoin(questions.agg(F.count("*").alias("total"))).crossJoin(stop)  # one-row tables
+    wait = F.coalesce(wait_seconds(F.col("s.q")), F.when(F.col("s").isNotNull(), F.lit(DEFAULT_WAIT)))
+    return fresh, sums.select("already_done", "new", "total", F.col("s.id").alias("stopped_before"), wait.alias("suggested_wait"))
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """One row: judged and passed questions."""
+    return audit.agg(F.count("*").alias("judged"), F.count_if("ok").alias("passed"))
+
+
+def flagged(audit: DataFrame) -> DataFrame:
+    return audit.where(~F.col("ok"))
+
+
+def generation_run(questions: DataFrame, run: int = 0) -> DataFrame:
+    """(id, run, ok): the verdict noted when a question was made, as one more judge run; questions without one have no row."""
+    return questions.select("id", F.lit(run).alias("run"), provenance(F.col("validation"))["ok"].alias("ok")).where(F.col("ok").isNotNull())
+
+
 def stability_class(verdicts: Column) -> Column:
     """stable_pass, stable_fail or unstable; null without verdicts."""
     some = F.size(verdicts) > 0
@@ -132,22 +198,26 @@ def finalise_reasons(q: DataFrame, stability: DataFrame, require_runs: int = 3,
 def finalise(gated: DataFrame, order: str) -> DataFrame:
     """Adds duplicate reasons: in file order the first question with a key wins, and only accepted questions register keys.
 
-    Two keys (question text; type with gold set) make this a fold. It runs inside groups of questions that are connected
-    by a key, gathered by the benchmark, whose size is bounded by what people review, not by the corpus.
+    Two keys (question text; type with gold set) make this a fold over what passed the gates: one task reads the digests of
+    both keys in order and keeps two sets of those accepted so far, so its work is linear in the benchmark, which people
+    review whole. Nothing else of a question travels there.
     """
     keyed = gated.withColumn("_q", normal_question(F.col("question"))).withColumn("_g", F.concat_ws("\u0001", F.concat(F.lit("t:"), "qtype"), F.array_sort("gold_chunk_ids")))
-    row = F.struct(F.col(order).alias("o"), F.col("id").alias("id"), F.col("_q").alias("q"), F.col("_g").alias("g"))
-    listed = keyed.where(F.size("reasons") == 0).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(acc: Column, r: Column) -> Column:
-        why = F.when(F.array_contains(acc["seen_q"], r["q"]), "duplicate_question").when(F.array_contains(acc["seen_g"], r["g"]), "duplicate_gold_set")
-        new = lambda seen, key: F.when(why.isNull(), F.concat(seen, F.array(key))).otherwise(seen)
-        out = F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), why.alias("why"))))
-        return F.struct(new(acc["seen_q"], r["q"]).alias("seen_q"), new(acc["seen_g"], r["g"]).alias("seen_g"), out.alias("out"))
-
-    kind = dict(keyed.dtypes)["id"]
-    empty = F.struct(F.array().cast("array<string>").alias("seen_q"), F.array().cast("array<string>").alias("seen_g"), F.array().cast(f"array<struct<id:{kind},why:string>>").alias("out"))
-    judged = listed.select(F.explode(F.aggregate("rows", empty, step, lambda acc: acc["out"])).alias("r")).select("r.id", "r.why")
+    rows = keyed.where(F.size("reasons") == 0).select("id", F.md5("_q").alias("q"), F.md5("_g").alias("g"), F.col(order).alias("o"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: set[str] = set()
+        golds: set[str] = set()
+        for pdf in batches:
+            why: list[str | None] = []
+            for q, g in zip(pdf.q, pdf.g, strict=True):
+                why.append("duplicate_question" if q in texts else "duplicate_gold_set" if g in golds else None)
+                if why[-1] is None:
+                    texts.add(q)
+                    golds.add(g)
+            yield pd.DataFrame({"id": pdf.id, "why": why})
+
+    judged = rows.repartition(1).sortWithinPartitions("o", "id").select("id", "q", "g").mapInPandas(fold, f"id {dict(keyed.dtypes)['id']}, why string")
     done = keyed.drop("_q", "_g").join(judged, "id", "left")
     return done.withColumn("reasons", F.when(F.col("why").isNotNull(), F.array("why")).otherwise(F.col("reasons"))).drop("why").withColumn("final", F.size("reasons") == 0)
 
@@ -202,9 +272,3 @@ def apply_review(candidates: DataFrame, letters: str, order: str) -> DataFrame:
 
 def empty_questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], QUESTION)
-
-
-QUESTION = (
-    "id string, question string, qtype string, reference_answer string, gold_chunk_ids array<string>, gold_paper_ids array<string>, split string, status string, "
-    "gold_route string, oracle_sufficient boolean, notes string, gold_route_v2 string, ladder_recalls map<string,double>, validation string"
-)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import json_text
+
 # Waiting and retry limits in seconds.
 MAX_HINT_WAIT, DEFAULT_WAIT, EXTRA_WAIT = 30.0, 10.0, 0.5
 COOLDOWN_BASE, COOLDOWN_CAP = 30.0, 900.0
@@ -60,12 +62,34 @@ def pilot_summary(runs: DataFrame, questions: DataFrame) -> DataFrame:
         F.count("*").alias("runs"), F.sum(provider_tokens()).alias("provider_tokens_total"), F.sum(_count("llm", "provider_calls")).alias("provider_calls_total"),
         F.sum(_count("llm", "cache_hits")).alias("cache_hits_total"), F.sum(_count("llm", "rate_limit_errors")).alias("rate_limit_errors_total"),
         F.count_if(F.col("stop_reason") == "rate_limited").alias("runs_stopped_by_rate_limit"), F.count_if(F.col("stop_reason") == "token_budget").alias("runs_stopped_by_token_budget"),
-        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("generator_models"),
     )
-    q = questions.agg(F.count("*").alias("saved_total"))
+    named = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ",")
+    r = r.crossJoin(runs.agg(named("model").alias("generator_models"), named("judge_model").alias("judge_models")))
+    judge = F.from_json("validation", "judge_model string")["judge_model"]
+    q = questions.agg(F.count("*").alias("saved_total"), F.count_if(F.coalesce(judge, F.lit("")) == "").alias("saved_without_judge_model"))
+    types = questions.groupBy("qtype").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("qtype", "n")))).alias("saved_per_type"))  # a row a type
     p = questions.select(F.explode("gold_paper_ids").alias("p")).agg(F.count_distinct("p").alias("distinct_gold_papers"))
     each = F.bround(F.try_divide(F.col("provider_tokens_total"), F.col("saved_total").cast("double")), 0).cast("long")
-    return r.crossJoin(q).crossJoin(p).withColumn("tokens_per_saved_candidate", each)  # three one-row tables
+    return r.crossJoin(q).crossJoin(types).crossJoin(p).withColumn("tokens_per_saved_candidate", each)  # one-row tables
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """(run_no, total_survivors, provider_tokens, tokens_per_survivor and what the run noted): survivors of the types it tried."""
+    survived = run_yield(runs).groupBy("run_no").agg(F.sum("survived").alias("n"))
+    met = runs.withColumn("provider_tokens", provider_tokens()).join(survived, "run_no", "left").withColumn("total_survivors", F.coalesce("n", F.lit(0)))
+    each = F.bround(F.try_divide(F.col("provider_tokens"), F.col("total_survivors").cast("double")), 0).cast("long")
+    noted = lambda k: F.try_element_at(F.col("llm"), F.lit(k)).alias(k)
+    return met.select("run_no", "total_survivors", "provider_tokens", noted("provider_calls"), noted("rate_limit_errors"), each.alias("tokens_per_survivor"), "stop_reason", "judge_model", "model")
+
+
+def request_key(model: Column, messages: Column, temperature: Column, max_tokens: Column, effort: Column | None = None, headroom: Column | None = None) -> Column:
+    """The cache key of a request: sha256 of its fields as a JSON list, messages (role, content) with sorted keys, ASCII only."""
+    quoted = lambda c: F.when(c.isNull(), "null").otherwise(json_text(c))
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    none = F.lit(None).cast("string")
+    said = F.array_join(F.transform(messages, lambda m: F.concat(F.lit('{"content": '), quoted(m["content"]), F.lit(', "role": '), quoted(m["role"]), F.lit("}"))), ", ")
+    parts = [quoted(model), F.concat(F.lit("["), said, F.lit("]")), plain(temperature.cast("double")), plain(max_tokens), quoted(none if effort is None else effort), plain(none if headroom is None else headroom)]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")).cast("binary"), 256)
 
 
 def budget(runs: DataFrame, limit: int) -> DataFrame:

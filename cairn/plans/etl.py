@@ -146,3 +146,45 @@ def parse_failures(spark: SparkSession, sf: str) -> DataFrame:
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
     texts = docs.where("paper_id % 11 <> 0").withColumn("text", F.when(F.col("paper_id") % 13 == 0, " \n").otherwise(F.col("text")))
     return etl.parse_failures(docs, texts)
+
+
+_CUT = 200
+
+
+def _document(html: str) -> list[tuple[str, str]]:
+    """An extractor for tests of failure capture: a page that isn't closed is an error, a closed one is two sections."""
+    if "</html>" not in html:
+        raise ValueError("unclosed document")
+    return [("Front matter", html[:50]), ("Body", html)]
+
+
+@query(rf"""WITH f AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 13 = 0 THEN substr(html, 1, {_CUT}) ELSE html END AS content FROM pages)
+  SELECT page_id AS paper_id, CASE WHEN content IS NULL THEN 'no file found' WHEN NOT contains(content, '</html>') THEN 'unclosed document' END AS reason, CASE WHEN contains(content, '</html>') THEN 2 ELSE 0 END::BIGINT AS n_sections FROM f""")
+def parse_with_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page parsed by a pluggable extractor, its errors and missing files as reasons; parsed front matter gives way to the abstract."""
+    i = F.col("page_id")
+    pages = V.table(spark, sf, "pages").select(i.alias("paper_id"), F.lit("About it.").alias("abstract"), "html")
+    files = pages.where("paper_id % 11 <> 0").select("paper_id", F.when(F.col("paper_id") % 13 == 0, F.substring("html", 1, _CUT)).otherwise(F.col("html")).alias("content"))
+    found, failed = etl.parse_records(pages.drop("html"), files, _document)
+    n = found.groupBy("paper_id").agg(F.count("*").alias("n_sections"))
+    return pages.select("paper_id").join(failed, "paper_id", "left").join(n, "paper_id", "left").na.fill(0, ["n_sections"]).select("paper_id", "reason", "n_sections")
+
+
+@query(rf"""WITH p AS (SELECT doc_id, DATE '2000-01-01' + (doc_id % 4000)::INT AS d, {_SPLIT_OF} AS split FROM (SELECT *, 'p' || doc_id AS k FROM documents)), c AS (SELECT lang AS section, length(coalesce(text, '')) >= 500 AS long, {_SPLIT_OF} AS split FROM (SELECT *, 'p' || doc_id AS k FROM documents)),
+  s AS (SELECT section, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, section) AS i FROM c WHERE long GROUP BY section), y AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM p GROUP BY year(d))), a AS (SELECT count(*) AS papers, min(d) AS lo, max(d) AS hi, count(*) FILTER (WHERE split = 'test') AS test_papers FROM p)
+  SELECT papers, lo::VARCHAR AS first_day, hi::VARCHAR AS last_day, hi - lo AS span_days, test_papers, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c WHERE long) AS long_chunks, (SELECT count(*) FROM c WHERE long AND split = 'test') AS long_test_chunks, m AS most_of_a_year,
+    (SELECT string_agg(section || ':' || n, ' ' ORDER BY i) FROM s WHERE i <= 6) AS top_sections, concat_ws(',', CASE WHEN test_papers < 25 THEN 'few_test_papers' END, CASE WHEN hi - lo < 365 THEN 'short_span' END, CASE WHEN m > 0.6 * papers THEN 'one_year_dominates' END) AS warnings FROM a, y""")
+def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Span, splits, sections and warnings, every document being a paper of its own with a day of publication."""
+    d = V.table(spark, sf, "documents").select(F.concat(F.lit("p"), "doc_id").alias("paper_id"), F.concat(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 4000).cast("int")).cast("string"), F.lit("T00:00:00Z")).alias("published"), F.col("lang").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+    row = etl.corpus_summary(d.select("paper_id", "published"), d, T.paper_split(F.col("paper_id")))
+    return row.withColumn("first_day", F.col("first_day").cast("string")).withColumn("last_day", F.col("last_day").cast("string")).withColumn("span_days", F.col("span_days").cast("long"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents), n AS (SELECT doc_id, len(list_filter(w, lambda x: regexp_full_match(x, '[-+−]?[\p{Nd}.,]+%?')))::DOUBLE / greatest(len(w), 1) AS noise FROM t),
+  q AS (SELECT doc_id AS id, unnest([doc_id, doc_id + 1]) AS g FROM documents WHERE doc_id % 3 = 0), m AS (SELECT id, round(max(coalesce(noise, 0)), 2) AS noise FROM q LEFT JOIN n ON n.doc_id = g GROUP BY id) SELECT id, 'simple' AS qtype, noise FROM m WHERE noise >= 0.01""")
+def noisy_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted questions whose gold holds a noisy chunk."""
+    d, i = V.table(spark, sf, "documents"), F.col("doc_id")
+    asked = d.select(i.alias("id"), F.lit("simple").alias("qtype"), F.when(i % 3 == 0, "accepted").otherwise("candidate").alias("status"), F.array(i, i + 1).alias("gold_chunk_ids"))
+    return etl.noisy_gold(asked, d.select(i.alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")), 0.01)

@@ -23,6 +23,23 @@ def stratified_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("experiment", "qtype", "n", *[R6(c).alias(c) for c in ("recall", "llm_calls", "tokens", "lat_p50", "lat_p95", "escalated", "route_acc")], "n_clusters")
 
 
+@query(None)
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with both intervals, in the order of its rows; clusters come from the questions' gold papers (numpy's generator: tests compare it with direct resampling)."""
+    asked = V.results(spark, sf).select("id").distinct()
+    gold = F.when(F.col("id") % 4 != 0, F.array(F.concat(F.lit("p"), F.col("id") % 13))).otherwise(F.array().cast("array<string>"))
+    kinds = tuple(sorted(("view", "click", "purchase", "signup", "error")))
+    return E.report_rows(V.results(spark, sf), asked.withColumn("gold_paper_ids", gold), kinds)
+
+
+@query(r"""WITH q AS (SELECT DISTINCT event_id // 4 AS id FROM events), g AS (SELECT id, CASE WHEN id % 4 <> 0 THEN ['p' || (id % 13), 'x'] ELSE [] END AS papers FROM q) SELECT id, coalesce(papers[1], id::VARCHAR) AS cluster FROM g""")
+def question_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question's cluster: its first gold paper, else itself."""
+    asked = V.results(spark, sf).select("id").distinct()
+    papers = F.when(F.col("id") % 4 != 0, F.array(F.concat(F.lit("p"), F.col("id") % 13), F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return asked.select("id", E.gold_cluster(papers, F.col("id")).alias("cluster"))
+
+
 @query(rf"""WITH {V.RESULTS_SQL} SELECT experiment, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.9), 6) AS p90, round(quantile_cont(latency_s, 0.95), 6) AS p95 FROM results GROUP BY experiment""")
 def percentile_latency(spark: SparkSession, sf: str) -> DataFrame:
     return V.results(spark, sf).groupBy("experiment").agg(*[R6(F.percentile("latency_s", p / 100)).alias(f"p{p}") for p in (50, 90, 95)])
@@ -30,19 +47,19 @@ def percentile_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH {V.RESULTS_SQL}, l AS (SELECT experiment, recall, row_number() OVER (PARTITION BY experiment ORDER BY id) - 1 AS i FROM results WHERE recall IS NOT NULL),
   s AS (SELECT experiment, count(*) AS n, avg(recall) AS mean FROM l GROUP BY experiment),
-  d AS (SELECT l.experiment, x.rep, ('0x' || substr(md5(x.rep || ':' || l.i), 1, 8))::BIGINT % s.n AS pick FROM l JOIN s USING (experiment), (SELECT unnest(range(200)) AS rep) x),
+  d AS (SELECT l.experiment, x.rep, ('0x' || substr(md5(x.rep || ':' || l.i), 1, 8))::BIGINT % s.n AS pick FROM l JOIN s USING (experiment), (SELECT unnest(range(1000)) AS rep) x),
   m AS (SELECT d.experiment, d.rep, avg(l.recall) AS m FROM d JOIN l ON l.experiment = d.experiment AND l.i = d.pick GROUP BY d.experiment, d.rep)
   SELECT s.experiment, s.n, round(s.mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM s JOIN m USING (experiment) GROUP BY s.experiment, s.n, s.mean""")
 def bootstrap_ci_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    """The portable interval of each experiment's mean, from 200 replicates."""
-    ci = E.hashed_bootstrap(V.results(spark, sf), ["experiment"], "recall", "id", 200)
+    """The portable interval of each experiment's mean, from 1000 replicates."""
+    ci = E.hashed_bootstrap(V.results(spark, sf), ["experiment"], "recall", "id", E.REPS)
     return ci.select("experiment", "n", *[R6(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
 @query(None)
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """The interval of numpy's generator, by position; tests compare it with direct resampling."""
-    return E.bootstrap(V.results(spark, sf), ["experiment", "qtype"], "recall", "id", reps=200)
+    return E.bootstrap(V.results(spark, sf), ["experiment", "qtype"], "recall", "id")
 
 
 @query(None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import fetch, jsonl
-from ..sources.shared import shared_folder
+from ..sources.shared import create_empty, shared_folder
 from ..streaming import resume
 from . import views as V
 from .registry import query
@@ -62,12 +62,12 @@ def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT 'exp' || (event_id % 4) AS experiment, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1""")
 def experiment_directory(spark: SparkSession, sf: str) -> DataFrame:
-    """Result files by experiment in one folder; the file's name is the experiment."""
-    path = shared_folder(spark, "experiments")
-    e = V.table(spark, sf, "events").select(F.concat(F.lit("exp"), F.col("event_id") % 4).alias("name"), F.col("event_id").alias("id"))
-    e.write.partitionBy("name").json(f"{path}/parts")
-    rows = spark.read.schema("id long, name string").json(f"{path}/parts")
-    return rows.groupBy(F.col("name").alias("experiment")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    """Result files by experiment in one folder, an empty one of an aborted run among them; the file's name is the experiment."""
+    path = f"{shared_folder(spark, 'experiments')}/results"
+    rows = V.table(spark, sf, "events").select(F.concat(F.lit("exp"), F.col("event_id") % 4).alias("experiment"), F.col("event_id").alias("id"))
+    jsonl.write_experiments(rows, path)
+    create_empty(spark, f"{path}/aborted.jsonl")
+    return jsonl.read_experiments(spark, path, "id long").groupBy("experiment").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(r"""SELECT lang AS section, count(*) AS n, '' AS is_evidence FROM documents GROUP BY lang""")
@@ -110,6 +110,19 @@ def refetch_plan(spark: SparkSession, sf: str) -> DataFrame:
     return fetch.refetch_plan(p, p.where("id % 3 <> 0")).groupBy("present").agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH t AS (SELECT page_id AS id, row_number() OVER (ORDER BY page_id) AS i, CASE WHEN page_id % 5 = 0 THEN 503 ELSE 200 END AS status FROM pages WHERE page_id % 3 = 0), l AS (SELECT * FROM t WHERE i <= 20)
+  SELECT 'limited' AS kind, (SELECT count(*) FROM pages WHERE page_id % 3 <> 0) AS present, count(*) AS to_download, count(*) FILTER (WHERE status = 200) AS downloaded, coalesce(string_agg(id || ':' || status, ' ' ORDER BY id) FILTER (WHERE status <> 200), '') AS failed FROM l
+  UNION ALL SELECT 'dry', (SELECT count(*) FROM pages WHERE page_id % 3 <> 0), count(*), 0, '' FROM t""")
+def refetch_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing files asked for again: the first twenty of them, with what the service refused, and all of them in a dry run."""
+    i = F.col("id")
+    p = V.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("place"))
+    answers = p.select("id", F.when(i % 5 == 0, 503).otherwise(200).alias("status"))
+    run = lambda kind, **how: fetch.refetched(p, p.where("id % 3 <> 0"), answers, **how).select(
+        F.lit(kind).alias("kind"), "present", "to_download", "downloaded", F.array_join(F.transform("failed", lambda f: F.concat(f["id"].cast("string"), F.lit(":"), f["status"].cast("string"))), " ").alias("failed"))
+    return run("limited", limit=20).unionByName(run("dry", dry_run=True))
+
+
 @query(r"""SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'active/' || page_id WHEN page_id % 3 = 1 THEN 'stored/' || page_id END AS path FROM pages""")
 def resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")

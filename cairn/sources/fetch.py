@@ -6,7 +6,6 @@ There is no network here; a listing is a table (id, published, ..) in the order
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The window's ends where none are given.
@@ -29,8 +28,8 @@ def wanted(listing: DataFrame, seen: DataFrame, date_from: str | None, date_to:
     low = date_from or FIRST_DAY
     first = listing.orderBy("place").limit(most)
     if sort == "date":
-        older = F.max((F.col("published") < low).cast("int")).over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))  # one listing, at most `most` rows
-        first = first.withColumn("_ended", older).where("_ended = 0").drop("_ended")
+        end = first.where(F.col("published") < low).agg(F.min("place").alias("_end"))
+        first = first.crossJoin(F.broadcast(end)).where(F.col("_end").isNull() | (F.col("place") < F.col("_end"))).drop("_end")  # one row
     inside = first.where((F.col("published") >= low) & (F.lit(date_to is None) | (F.col("published") <= F.lit(date_to))))
     return inside.join(seen.select("id").distinct(), "id", "left_anti")
 
@@ -40,6 +39,19 @@ def refetch_plan(metadata: DataFrame, present: DataFrame) -> DataFrame:
     return metadata.select("id").join(present.select("id", F.lit(True).alias("present")).distinct(), "id", "left").na.fill(False, ["present"])
 
 
+def refetched(metadata: DataFrame, present: DataFrame, answers: DataFrame, limit: int | None = None, dry_run: bool = False) -> DataFrame:
+    """One row: present, to_download, downloaded, failed (ids with the service's status). metadata is (id, place), answers (id,
+    status) is what the service would reply; at most ``limit`` missing files are asked for, in the order of ``place``, and a dry
+    run asks for none."""
+    plan = refetch_plan(metadata, present).join(metadata.select("id", "place"), "id")
+    todo = plan.where(~F.col("present"))
+    todo = todo if limit is None else todo.orderBy("place").limit(limit)
+    asked = todo.where(F.lit(not dry_run)).join(answers.select("id", "status"), "id", "left").withColumn("status", F.coalesce("status", F.lit(404)))
+    bad = F.transform(F.sort_array(F.collect_list(F.when(F.col("status") != 200, F.struct("place", "id", "status")))), lambda x: F.struct(x["id"].alias("id"), x["status"].alias("status")))
+    counts = plan.agg(F.count_if("present").alias("present")).crossJoin(todo.agg(F.count("*").alias("to_download")))
+    return counts.crossJoin(asked.agg(F.count_if(F.col("status") == 200).alias("downloaded"), bad.alias("failed")))  # one-row tables
+
+
 def resolved_paths(records: DataFrame, active: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, path): the active folder's file, else the stored path where it exists, else null (a failure)."""
     met = records.join(active.select("id", F.col("path").alias("_active")), "id", "left")

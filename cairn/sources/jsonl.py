@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import exists, replace
+from .shared import exists, remove, replace
 
 QUESTION = (
     "id string, question string, qtype string, reference_answer string, gold_chunk_ids array<string>, gold_paper_ids array<string>, split string, status string, "
@@ -62,7 +62,16 @@ def append_new(df: DataFrame, path: str, key: str = "id") -> DataFrame:
 def read_experiments(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
     """All *.jsonl of a folder with the file's stem as ``experiment``; empty files give no rows."""
     rows = spark.read.schema(schema).json(f"{folder}/*.jsonl")
-    return rows.withColumn("experiment", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
+    return rows.withColumn("experiment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
+
+
+def write_experiments(rows: DataFrame, folder: str) -> None:
+    """Result rows as one ``<experiment>.jsonl`` each, a folder of part files where an experiment has several."""
+    spark, staged = rows.sparkSession, f"{folder}.staged-{uuid.uuid4().hex}"
+    rows.write.partitionBy("experiment").json(staged, ignoreNullFields=False)
+    for name in [r.experiment for r in rows.select("experiment").distinct().collect()]:  # a handful of experiments
+        replace(spark, f"{staged}/experiment={name}", f"{folder}/{name}.jsonl")
+    remove(spark, staged)
 
 
 def first_wins(sources: Sequence[DataFrame], key: str, line: str) -> DataFrame:

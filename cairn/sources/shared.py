@@ -10,9 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the session's checkpoint folder (a local one only where the session names none, as in tests).
-    It goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A fresh folder under the session's checkpoint folder. Where the session names none, a local one will do for a session in
+    one process; on a cluster that is an error, as executors would write each to its own disk. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}"
     path = f"{root.rstrip('/')}/cairn-{tag}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
@@ -31,6 +35,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def create_empty(spark: SparkSession, path: str) -> None:
+    _, p, fs = _file_system(spark, path)
+    fs.create(p).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         _, p, fs = _file_system(spark, path)
