@@ -1,10 +1,13 @@
 """Best-fit packing by bin completion with branch and bound.
 
 Documents of equal length are interchangeable, so the search runs over the histogram of lengths (at most ``capacity``
-entries, whatever the input): it takes the largest remaining length, enumerates the undominated fillings around
-it, and repeats the chosen filling as often as the counts allow. Waste bounds prune: a branch ends when its bins
-plus the least number of bins for the rest reach the incumbent. The first incumbent is best-fit decreasing. Search
-effort is bounded by ``NODES``; whatever remains unproven, the incumbent is a whole and valid packing.
+entries, whatever the input): it takes the largest remaining length, enumerates all undominated fillings around it, and each
+number of times that the counts allow. Waste bounds prune: a branch ends when its bins plus the least number of bins for the
+rest reach the incumbent. The first incumbent is best-fit decreasing. ``NODES`` alone bounds the effort: where it ends the
+search the incumbent, a whole and valid packing, stays as good as proven so far.
+
+Ids are those of the vocabulary file for the ``tokenizers`` library; texts without a special token's string are encoded by a
+faster implementation of the same merges, which tests hold against that library.
 
 Documents over the capacity are cut into full pieces; the first piece takes the remainder and joins the search.
 
@@ -19,7 +22,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_or_empty
 
 CAPACITY = 2048
-NODES = 20_000
-FILLINGS = 4
+NODES = 4_000
 END_ID = 0
 
 # --- tokens ---------------------------------------------------------------------------------------------------
@@ -95,43 +96,67 @@ def piece_table(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_c
 # --- the search over the histogram ----------------------------------------------------------------------------
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int = FILLINGS, effort: int = 300) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: no piece left over fits beside them, and of one waste those
-    with fewer, larger pieces come first. Depth first from the largest piece down, pruned by the waste to beat."""
-    found: dict[int, tuple[int, ...]] = {}
-    best = room + 1
-    steps = 0
-    start = bisect_right(lengths, room) - 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(start, room, ())]
-    while stack and steps < effort and best > 0:
-        steps += 1
-        i, left, held = stack.pop()
-        i = min(i, bisect_right(lengths, left) - 1)
-        while i >= 0 and held.count(lengths[i]) >= counts[lengths[i]]:
-            i -= 1
-        if i < 0 or left < lengths[0]:
-            if left < best or len(found) < most:
-                found.setdefault(left, held)
-                best = min(best, left)
-            continue
-        stack.append((i - 1, left, held))  # without lengths[i], tried later
-        stack.append((i, left - lengths[i], (*held, lengths[i])))
-    return [found[w] for w in sorted(found)][:most]
-
-
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins needed at least: by volume, and by pieces of over half the capacity with what cannot lie beside them."""
-    volume = -(-sum(n * c for n, c in counts.items()) // capacity)
-    best = volume
-    for k in sorted({n for n in counts if 2 * n <= capacity} | {capacity - n + 1 for n in counts if 2 * n > capacity} | {0}):
-        if 2 * k > capacity:
-            continue
-        large = sum(c for n, c in counts.items() if n > capacity - k)
-        half = [(n, c) for n, c in counts.items() if n <= capacity - k and 2 * n > capacity]
-        n_half, room = sum(c for _, c in half), sum((capacity - n) * c for n, c in half)
-        small = sum(n * c for n, c in counts.items() if 2 * n <= capacity and n >= k)
-        best = max(best, large + n_half + max(0, -(-(small - room) // capacity)))
-    return best
+def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of ``room`` out of ``counts`` (by length), one after another: by rising waste, then with the larger
+    pieces first. Sums that the smaller lengths can reach are kept as bits, so that no step leads to a dead end."""
+    lengths = [int(n) for n in np.flatnonzero(counts[: room + 1]) if n]
+    everything = (1 << (room + 1)) - 1
+    reach = [1]  # reach[j]: sums of the first j lengths
+    for n in lengths:
+        bits, left, step = reach[-1], min(int(counts[n]), room // n), 1
+        while left:
+            step = min(step, left)
+            bits |= (bits << (n * step)) & everything
+            left -= step
+            step *= 2
+        reach.append(bits)
+
+    def exactly(j: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Multisets of the first j lengths with this sum."""
+        if not total:
+            yield ()
+        while j and total and reach[j] >> total & 1:
+            j -= 1
+            n = lengths[j]
+            for k in range(min(int(counts[n]), total // n), 0, -1):
+                if reach[j] >> (total - k * n) & 1:
+                    yield from ((n,) * k + rest for rest in exactly(j, total - k * n))
+
+    for waste in range(room + 1):
+        if reach[-1] >> (room - waste) & 1:
+            yield from (f for f in exactly(len(lengths), room - waste) if not dominated(f, waste, lengths, counts))
+
+
+def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts: np.ndarray) -> bool:
+    """Whether a piece left over could take the place of some of the filling's pieces (or of none) that are together no larger
+    and small enough for it to fit: any packing with this filling is then no better than one with that piece in it."""
+    sums, some, single = 1, 0, 1  # bits: sums of any pieces, of two or more, of one or none
+    for n in filling:
+        some |= (sums ^ 1) << n
+        sums |= sums << n
+        single |= 1 << n
+    window = (1 << (waste + 1)) - 1
+    for r in lengths:
+        if counts[r] > filling.count(r):
+            low = max(0, r - waste)
+            below = window >> (waste - (r - low))
+            if (some >> low) & below or (single >> low) & (below >> 1):
+                return True
+    return False
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins needed at least, the greatest over all k: pieces over capacity - k are alone, those over half each have a bin, and
+    what pieces of k up to half leave over the room of those needs bins of its own. k = 0 is the volume."""
+    n = np.arange(capacity + 1)
+    half = capacity // 2
+    total = np.r_[0, np.cumsum(counts)]
+    volume = np.r_[0, np.cumsum(counts * n)]
+    k = np.arange(half + 1)
+    beside = np.maximum(capacity - k, half)  # pieces over half and up to this may share their bin
+    n_half, v_half = total[beside + 1] - total[half + 1], volume[beside + 1] - volume[half + 1]
+    small = volume[half + 1] - volume[k]
+    return int((total[-1] - total[half + 1] + np.maximum(0, -((n_half * capacity - v_half - small) // capacity))).max())
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -165,43 +190,54 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
 
 
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a bin, number of such bins)] for all pieces of the histogram, in as few bins as found."""
-    histogram = {n: c for n, c in histogram.items() if c}
-    if not histogram:
+    """[(lengths in a bin, number of such bins)] for all pieces of the histogram, in as few bins as found.
+
+    A node takes the largest piece left, a filling around it and how often (a run of equal bins is one step, shorter runs are
+    branches of their own); equal remainders that were reached with no more bins before are not searched again.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c
+    if not counts.any():
         return []
-    incumbent = best_fit_decreasing(histogram, capacity)
-    n_best, bound = sum(k for _, k in incumbent), lower_bound(histogram, capacity)
-    budget = nodes
-    # a frame: remaining counts, bins so far as linked (parent, content, number), their number, choices left
-    stack = [(histogram, None, 0, None)]
-    while stack and n_best > bound and budget:
-        counts, done, n_done, choices = stack.pop()
-        if not counts:
-            if n_done < n_best:
-                n_best, incumbent = n_done, []
-                while done:
-                    done, content, k = done
-                    incumbent.append((content, k))
+    incumbent = best_fit_decreasing({n: c for n, c in histogram.items() if c}, capacity)
+    n_best, bound = sum(k for _, k in incumbent), lower_bound(counts, capacity)
+    seen: dict[bytes, int] = {}
+
+    def children(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
+        """(bin, times, what is left then)"""
+        large = int(np.flatnonzero(left)[-1])
+        beside = left.copy()
+        beside[large] -= 1
+        for filling in fillings(capacity - large, beside):
+            uses = np.bincount((large, *filling), minlength=capacity + 1)
+            used = np.flatnonzero(uses)
+            for times in range(int((left[used] // uses[used]).min()), 0, -1):
+                yield (large, *filling), times, left - times * uses
+
+    path: list[tuple[tuple[int, ...], int]] = []
+    stack = [(0, children(counts))]
+    while stack and n_best > bound and nodes:
+        n_done, choices = stack[-1]
+        step = next(choices, None)
+        if step is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        nodes -= 1
+        content, times, left = step
+        n_now = n_done + times
+        if n_now + lower_bound(left, capacity) >= n_best:
             continue
-        if choices is None:
-            if n_done + -(-sum(n * c for n, c in counts.items()) // capacity) >= n_best:
-                continue
-            large = max(counts)
-            rest = counts | {large: counts[large] - 1}
-            rest = {n: c for n, c in rest.items() if c}
-            choices = fillings(capacity - large, sorted(rest), rest) if rest else [()]
-        if not choices:
+        if not left.any():
+            n_best, incumbent = n_now, [*path, (content, times)]
             continue
-        budget -= 1
-        filling, *later = choices
-        if later:
-            stack.append((counts, done, n_done, later))
-        content = (max(counts), *filling)
-        uses = {n: content.count(n) for n in set(content)}
-        # the same filling again while that leaves the waste as it is: all at once, so that a run costs one node
-        times = min(counts[n] // u for n, u in uses.items())
-        after = {n: c - times * uses.get(n, 0) for n, c in counts.items()}
-        stack.append(({n: c for n, c in after.items() if c}, (done, content, times), n_done + times, None))
+        key = left.tobytes()
+        if seen.get(key, n_now + 1) > n_now:
+            seen[key] = n_now
+            path.append((content, times))
+            stack.append((n_now, children(left)))
     return incumbent
 
 
