@@ -10,8 +10,9 @@ are doubled and a backslash is put behind the first character of each control st
 The loss mask is a list of spans (code points of the formatted text) that cover the assistant texts.
 
 Edge cases: null text and role are empty; equal turns of one conversation are ordered by role and text; null turns come
-first; a null conversation id is a conversation of its own; a node whose parent is missing is a root; repeated rows are
-turns each; an empty table gives an empty result.
+first; a null conversation id is a conversation of its own; a node whose parent is missing is a root, and so is the least
+node (by its name in JSON) of a cycle of parents; repeated rows of a conversation are turns each; a node of a tree that is
+given more than once counts once, as its least row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,21 +49,44 @@ def reply_tree(conversations: DataFrame) -> DataFrame:
     return rows.select(node(F.col("n")).alias("node"), parent.alias("parent"), F.col("conv_id").alias("tree"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def jump_tables(first: DataFrame, nodes: int, scratch: Scratch, tag: str) -> tuple[list[DataFrame], bool]:
+    """Jumps (key, above) of 1, 2, 4 .. steps upwards, and whether they ran past the number of nodes, as only a cycle lets them."""
+    jumps = [scratch.save(first, f"{tag}-0")]
+    while 1 << (len(jumps) - 1) <= nodes:
+        last = jumps[-1]
+        longer = last.select("key", F.col("above").alias("mid")).join(last.select(F.col("key").alias("mid"), "above"), "mid").select("key", "above")
+        longer = scratch.save(longer, f"{tag}-{len(jumps)}")
+        if longer.isEmpty():
+            return jumps, False
+        jumps.append(longer)
+    return jumps, True
+
+
+def cycle_heads(jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(key): the least node of every cycle. The longest jumps end on cycles and reach all of each; the least key ahead is
+    doubled along the jumps."""
+    ring = jumps[-1].select(F.col("above").alias("key")).distinct()
+    least = scratch.save(ring.withColumn("least", F.col("key")), "least-0")
+    for k, jump in enumerate(jumps):
+        ahead = least.select(F.col("key").alias("above"), F.col("least").alias("other"))
+        met = least.join(jump, "key").join(ahead, "above")
+        least = scratch.save(met.select("key", F.least("least", "other").alias("least")), f"least-{k + 1}")
+    return least.where("key = least").select("key")
+
+
 def paths(tree: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, up, at): every node ``at`` that lies ``up`` steps above a leaf, the leaf itself included.
 
-    ``tree`` has key (a text that names the node) and above (its parent's key, null at a root).
+    ``tree`` has key (a text that names the node, once each) and above (its parent's key, null at a root).
     """
+    nodes = tree.count()
     known = tree.select("key").withColumnRenamed("key", "above")
     first = tree.select("key", "above").join(known.withColumn("real", F.lit(True)), "above", "left").where("real").select("key", "above")
-    jumps = [scratch.save(first, "jump-0")]
-    while True:
-        last = jumps[-1]
-        longer = last.select("key", F.col("above").alias("mid")).join(last.select(F.col("key").alias("mid"), "above"), "mid").select("key", "above")
-        longer = scratch.save(longer, f"jump-{len(jumps)}")
-        if longer.isEmpty():
-            break
-        jumps.append(longer)
+    jumps, cyclic = jump_tables(first, nodes, scratch, "jump")
+    if cyclic:
+        heads = scratch.save(cycle_heads(jumps, scratch), "heads")
+        first = first.join(heads, "key", "left_anti")
+        jumps, _ = jump_tables(first, nodes, scratch, "cut")
     inner = first.select(F.col("above").alias("key")).distinct()
     walked = tree.join(inner, "key", "left_anti").select(F.col("key").alias("leaf"), F.lit(0).alias("up"), F.col("key").alias("at"))
     for k in reversed(range(len(jumps))):
@@ -75,7 +99,8 @@ def format_trees(tree: DataFrame, branches: int = 1) -> DataFrame:
     """tree (node, parent, tree, role, text, score) -> tree, branch, formatted, loss_mask: one row per chosen path."""
     scratch = Scratch(tree.sparkSession, "chat")
     named = tree.withColumn("key", F.to_json(F.struct("node"))).withColumn("above", F.when(F.col("parent").isNotNull(), F.to_json(F.struct(F.col("parent").alias("node")))))
-    named = scratch.save(named.select("key", "above", "tree", "role", "text", "score"), "tree")
+    one = F.min(F.struct("above", "tree", "role", "text", "score")).alias("row")  # a node that is given more than once
+    named = scratch.save(named.groupBy("key").agg(one).select("key", "row.*"), "tree")
     walked = paths(named, scratch)
     laid = walked.join(named.select(F.col("key").alias("at"), "tree", "role", "text", "score"), "at")
 
@@ -101,7 +126,8 @@ def format_trees(tree: DataFrame, branches: int = 1) -> DataFrame:
 
 def read_back(formatted: Column, loss_mask: Column) -> dict[str, Column]:
     """Turns (role and text, unescaped) and masked text of a formatted conversation."""
-    pieces = F.slice(F.split(formatted, TURN), 2, 1 << 30)
+    pieces = F.split(formatted, TURN)
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
 
     def turn(piece: Column) -> Column:
         cut = F.instr(piece, F.lit(BODY))
