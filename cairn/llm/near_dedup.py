@@ -15,8 +15,9 @@ components become rows.
 A link at the threshold is missed by all bands with probability (1 - t^ROWS)^BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 
 Edge cases: null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
-shingle of the whole sequence; rows of one id are one node; a null id is linked with nothing and kept; an empty table
-gives an empty result.
+shingle of the whole sequence; rows of one id are one node with the links of all its texts (where texts of one id differ,
+their classes of equal sets go by numbers of their own until components are named); a null id is linked with nothing and
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,8 +135,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 sets = shingle_sets(list(pdf.text[a:b]), words, powers)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 out = pd.DataFrame({"id": pdf.id[a:b].array, "n_shingles": [len(s) for s in sets]})
-                out["set_a"] = [int(np.sum(s, dtype=np.uint64).astype(np.int64)) for s in sets]
-                out["set_b"] = [int(np.bitwise_xor.reduce(mix64(s + BASE)).astype(np.int64)) if len(s) else 0 for s in sets]
+                out["set_a"], out["set_b"] = zip(*map(digests, sets), strict=True)
                 keys, signature = [None] * len(sets), [None] * len(sets)
                 if full:
                     mins = minima([sets[i] for i in full])
@@ -148,16 +148,24 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     return rows.mapInPandas(compute, SKETCH).withColumn("id", F.col("id").cast("long"))
 
 
+def digests(items: np.ndarray) -> tuple[int, int]:
+    """Two numbers that name a set."""
+    both = int(np.sum(items, dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(items + BASE)).astype(np.int64)) if len(items) else 0
+    return both
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, items): the sorted set of each row of (id, text)."""
+    """(id, set_a, set_b, items): the sorted set of each row of (id, text) and what names it."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for pdf in batches:
             for a, b in slices(pdf.text.map(len).to_numpy(), SLICE_BYTES):
-                yield pd.DataFrame({"id": pdf.id[a:b].array, "items": [s.astype(np.int64) for s in shingle_sets(list(pdf.text[a:b]), words, powers)]})
+                sets = shingle_sets(list(pdf.text[a:b]), words, powers)
+                named = [digests(s) for s in sets]
+                yield pd.DataFrame({"id": pdf.id[a:b].array, "set_a": [x for x, _ in named], "set_b": [y for _, y in named], "items": [s.astype(np.int64) for s in sets]})
 
-    return docs.mapInPandas(compute, "id long, items array<long>")
+    return docs.mapInPandas(compute, "id long, set_a long, set_b long, items array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -255,10 +263,16 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     total = sketch.count()
     digest = ["n_shingles", "set_a", "set_b"]
     usable = sketch.where("n_shingles > 0 and id is not null")
-    classes = scratch.save(
-        usable.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
-        "classes",
-    )
+    ends = usable.groupBy("id").agg(F.min(F.struct(*digest)).alias("low"), F.max(F.struct(*digest)).alias("high"))
+    several = scratch.save(ends.where("low <> high").select("id"), "several")  # ids whose texts differ
+    mixed = not several.isEmpty()
+    classes = usable.groupBy(*digest).agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    if mixed:
+        known = several.select(F.col("id").alias("least"), F.lit(True).alias("_several"))
+        classes = classes.join(known, "least", "left").withColumn("rep", F.when(F.col("_several"), F.xxhash64(*digest)).otherwise(F.col("least"))).drop("_several")
+    else:
+        classes = classes.withColumn("rep", F.col("least"))
+    classes = scratch.save(classes, "classes")
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
     mark = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
@@ -266,10 +280,14 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # near copies fall together in most bands: of buckets with the same members one is looked at
     buckets = buckets.groupBy("pivot", "members", "m1", "m2").agg(F.min("key").alias("key")).drop("m1", "m2")
     members = scratch.save(placed.join(buckets, "key"), "members")
-    needed = members.select(F.col("rep").alias("id")).distinct()
+    needed = members.select("rep").distinct().join(classes.select("rep", F.col("least").alias("id"), "set_a", "set_b"), "rep") if mixed else members.select(F.col("rep").alias("id"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    sets = full_sets(text.join(needed.hint("merge"), "id", "left_semi"), words)  # ids grow with the input: shuffled at every size
-    sets = scratch.save(sets.groupBy("id").agg(F.first("items").alias("items")), "sets")
+    sets = full_sets(text.join(needed.select("id").distinct().hint("merge"), "id", "left_semi"), words)  # ids grow with the input: shuffled at every size
+    if mixed:
+        sets = sets.join(needed, ["id", "set_a", "set_b"]).groupBy("rep").agg(F.first("items").alias("items")).withColumnRenamed("rep", "id")
+    else:
+        sets = sets.groupBy("id").agg(F.first("items").alias("items"))
+    sets = scratch.save(sets, "sets")
     signatures = classes.groupBy("rep").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     sign = lambda side: signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"sign_{side}"), F.col("n").alias(f"n_{side}"))
     # sets whose sizes differ too much can't reach the threshold
@@ -280,7 +298,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return scratch.save(_confirmed(likely, sets, percent), f"links-{name}")
 
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = components(links_of(star, "star"), scratch, "star")
+    first_links = links_of(star, "star")
+    if mixed:  # the classes of one id are one node
+        own = usable.join(several, "id", "left_semi").select("id", *digest).distinct().join(classes.select(*digest, "rep"), digest).select("id", "rep")
+        heads = own.groupBy("id").agg(F.min("rep").alias("a"))
+        first_links = scratch.save(first_links.unionByName(own.join(heads, "id").where("rep <> a").select("a", F.col("rep").alias("b"))), "links-ids")
+    labels = components(first_links, scratch, "star")
 
     def extended(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Labels after further links; components so far are contracted, so only what is new is searched."""
@@ -336,8 +359,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = extended(labels, scratch.save(cross, "links-cross"), "cross")
     scratch.drop("sets")
 
-    reached = classes.select(*digest, "rep", "rows").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    reached = scratch.save(reached.select(*digest, "rows", F.coalesce("label", "rep").alias("component")), "reached")
+    reached = classes.select(*digest, "rep", "least", "rows").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    reached = reached.select(*digest, "least", "rows", F.coalesce("label", "rep").alias("component"))
+    if mixed:
+        named = reached.groupBy("component").agg(F.min("least").alias("smallest"), F.count("*").alias("_n"))
+        named = scratch.save(named, "named")
+        reached = join_groups(scratch.save(reached, "numbered"), named, ["component"], "_n", total).withColumn("component", F.col("smallest")).drop("smallest", "_n")
+    reached = scratch.save(reached.select(*digest, "rows", "component"), "reached")
     linked = join_groups(usable.select("id", *digest), reached, digest, "rows", total)
     others = sketch.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     return linked.select("id", "n_shingles", "component").unionByName(others)
@@ -345,5 +373,5 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one per component stays, the smallest id (rows without words always stay)."""
-    dropped = near_components(docs, words, percent, id_col, text_col).where("id <> component").select(F.col("id").alias("_id"))
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    dropped = near_components(docs, words, percent, id_col, text_col).where("id <> component").select("id").distinct()
+    return docs.alias("rows").join(dropped.alias("dropped"), F.col(f"rows.{id_col}").cast("long") == F.col("dropped.id"), "left_anti")
