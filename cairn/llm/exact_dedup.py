@@ -3,7 +3,8 @@
 Each scan task writes one sorted run of (digest, smallest id, rows, bytes). The runs are then exchanged in rounds
 over a hypercube of slots with a fan-in of ``FAN``: in round j a slot splits its run by the j-th digit of the digest,
 sends one piece to each of the FAN slots that differ in that digit, and merges what it receives, keeping the
-smallest identifier of equal digests. Equal digests are verified at every merge by the length of their text. After
+smallest identifier of equal digests. Equal digests (sha256, whose collisions nobody has found) must also agree in the length
+of their text at every merge. After
 the last round each slot owns one digest range completely.
 
 Scale: the slot count grows with the rows (``ROWS_PER_SLOT``), copies shrink to one entry in the first run, so a group
@@ -119,10 +120,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay: of equal texts the one with the smallest id (of repeated rows with that id, one)."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     groups = exact_groups(docs, id_col, text_col)
-    stays = groups.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(
-        F.coalesce("id", F.lit(NO_ID)).alias("_key"), F.lower(F.hex("digest")).alias("_digest")
-    )
+    stays = groups.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.coalesce("id", F.lit(NO_ID)).alias("key"), "digest")
     normal = F.regexp_replace(text_or_empty(text_col), SPACE_CLASS, " ")
-    marked = docs.withColumn("_key", key).withColumn("_digest", F.sha2(normal.cast("binary"), 256))
+    # the row is one column, so that no name of its own is in the way
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), key.alias("key"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"))
     # id and digest name a text that stays; of rows repeated with both, one is kept in the same partitioning
-    return marked.join(stays, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    kept = marked.join(stays, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
