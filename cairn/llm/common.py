@@ -34,13 +34,14 @@ def id_crc(col: str = "doc_id") -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) is a local one made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share. Where the session names none, a local one is made for a session in one process, as in
+    tests; on a cluster that is an error, as every executor would write to its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
