@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Labels say toxic or not; grades refine them: 0 is clean, and toxic training texts are graded 1 to 3 by thirds of their
-number of toxic terms. The model shares one weight vector across the ordered thresholds,
+Labels say toxic or not; grades refine them: 0 is clean, and toxic training texts are graded 1 to 3 by thirds of the share of
+their words that hold a toxic term. Terms for grading are not the model's: the sample is cut into two folds, and each is graded
+by terms chosen on the other alone. The model shares one weight vector across the ordered thresholds,
 
     P(grade <= k) = logistic(theta_k - w . x),   theta_1 < theta_2 < theta_3,
 
@@ -10,11 +11,11 @@ beginnings of 3 to 6 letters (inflected and compounded forms share them), chosen
 the label.
 
 Scale: terms and weights are learned from at most ``SAMPLE`` labelled training rows (a documented parameter), taken in
-hash order; scoring is one map over whole texts without a shuffle.
+hash order; scoring is one map over whole texts without a shuffle. Tasks that count terms hand them on once ``FLUSH`` are held.
 
 Edge cases: null or empty text has no features; several labels of one id count as toxic if any is; without toxic
-training rows nothing is flagged; repeated rows are scored alike; a null id is held out; an empty table gives an
-empty result.
+training rows nothing is flagged; repeated rows are scored alike, and of an id's texts the least one takes part in the fit; a
+null id is held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .common import Scratch, hash_sample, id_crc, text_or_empty
 SAMPLE = 20_000
 TERMS = 2048
 LEAST_TEXTS = 4
+FLUSH = 300_000
 SHORTEST, LONGEST = 3, 6
 GRADES = 3
 STEPS = 800
@@ -52,6 +54,11 @@ def openings_of(terms: list[str]) -> set[str]:
     return {t.rstrip()[:SHORTEST] for t in terms}
 
 
+def hit_share(text: str, index: dict[str, int], openings: set[str]) -> float:
+    """Share of a text's words that hold an indexed term."""
+    return term_hits(text, index, openings)[1] / max(1, len(WORD.findall(text)))
+
+
 def term_hits(text: str, index: dict[str, int], openings: set[str]) -> tuple[Counter, int]:
     """Counts of the indexed terms, and the number of words that hold any."""
     counts: Counter = Counter()
@@ -69,11 +76,20 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_clean: int, terms: int = TERM
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def handed(toxic: int) -> pd.DataFrame:
+            counter = held[toxic]
+            out = pd.DataFrame({"term": list(counter), "bad": [n * toxic for n in counter.values()], "good": [n * (1 - toxic) for n in counter.values()]})
+            counter.clear()
+            return out
+
         for pdf in batches:
             for text, toxic in zip(pdf.text, pdf.toxic, strict=True):
                 held[bool(toxic)].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
-        for toxic, counter in enumerate(held):
-            yield pd.DataFrame({"term": list(counter), "bad": [n * toxic for n in counter.values()], "good": [n * (1 - toxic) for n in counter.values()]})
+                if len(held[bool(toxic)]) > FLUSH:
+                    yield handed(int(toxic))
+        yield handed(0)
+        yield handed(1)
 
     both = texts.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = float(n_toxic + n_clean)
@@ -135,23 +151,29 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SA
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = hash_sample(votes.where(id_crc("doc_id") % HELD_OUT_MOD != 0), "doc_id", 0, sample)
     rows = docs.join(F.broadcast(chosen), docs.id == chosen.doc_id).where(~F.col("held_out"))  # at most `sample` rows
-    texts = scratch.save(rows.dropDuplicates(["id"]).select("text", "toxic"), "sample")
-    size = {bool(r.toxic): int(r.n) for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    vocabulary = choose_terms(texts, size[True], size.get(False, 0), terms) if size.get(True) else []
+    fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")
+    one = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("fold", fold)
+    texts = scratch.save(one.select("text", "toxic", "fold"), "sample")
+    size = {(r.fold, bool(r.toxic)): int(r.n) for r in texts.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    count = lambda toxic, *folds: sum(size.get((f, toxic), 0) for f in folds)
+    vocabulary = choose_terms(texts, count(True, 0, 1), count(False, 0, 1), terms) if count(True, 0, 1) else []
     if not vocabulary:
         return OrdinalModel(np.zeros(0), np.full(GRADES, 60.0)), []
-    index, openings = {t: i for i, t in enumerate(vocabulary)}, openings_of(vocabulary)
+    listed = lambda ts: ({t: i for i, t in enumerate(ts)}, openings_of(ts))
+    index, openings = listed(vocabulary)
+    others = [listed(choose_terms(texts.where(F.col("fold") == 1 - f), count(True, 1 - f), count(False, 1 - f), terms) if count(True, 1 - f) else []) for f in (0, 1)]
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [term_hits(t, index, openings) for t in pdf.text]
-            yield pd.DataFrame({"toxic": pdf.toxic, "cols": [sorted(c) for c, _ in found], "counts": [[c[i] for i in sorted(c)] for c, _ in found], "hits": [h for _, h in found]})
-
-    got = texts.mapInPandas(compute, "toxic boolean, cols array<int>, counts array<int>, hits int").collect()
-    got.sort(key=lambda r: (r.toxic, r.hits, list(r.cols), list(r.counts)))
-    toxic, hits = np.array([r.toxic for r in got]), np.array([r.hits for r in got])
-    cuts = np.quantile(hits[toxic], np.arange(1, GRADES) / GRADES)
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, "left"), 0)
+            found = [term_hits(t, index, openings)[0] for t in pdf.text]
+            shares = [hit_share(t, *others[f]) if toxic else 0.0 for t, toxic, f in zip(pdf.text, pdf.toxic, pdf.fold, strict=True)]
+            yield pd.DataFrame({"toxic": pdf.toxic, "cols": [sorted(c) for c in found], "counts": [[c[i] for i in sorted(c)] for c in found], "share": shares})
+
+    got = texts.mapInPandas(compute, "toxic boolean, cols array<int>, counts array<int>, share double").collect()
+    got.sort(key=lambda r: (r.toxic, r.share, list(r.cols), list(r.counts)))
+    toxic, shares = np.array([r.toxic for r in got]), np.array([r.share for r in got])
+    cuts = np.quantile(shares[toxic], np.arange(1, GRADES) / GRADES)
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, shares, "left"), 0)
     triples = sparse([(r.cols, r.counts) for r in got])
     return fit_ordinal(*triples, grades, len(vocabulary)), vocabulary
 
