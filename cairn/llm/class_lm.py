@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_crc, mix64, text_or_empty
@@ -188,9 +189,13 @@ def word_counts(rows: DataFrame, scratch: Scratch) -> Counts:
     levels = sorted(((int(r.o), int(r.n), int(r.least)) for r in words.groupBy(octave.alias("o")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()), reverse=True)
     room = HEAD_WORDS
     least = max([lv[2] for lv in levels], default=0) * 2 + 1
-    for _, n, lowest in levels:
+    for octave_no, n, lowest in levels:
         room -= n
         if room < 0:
+            # within the octave that doesn't fit whole: the least count that does (counts of counts, of so narrow a band)
+            exact = words.where(octave == octave_no).groupBy("c").agg(F.count("*").alias("n"))
+            running = F.sum("n").over(W.orderBy(F.desc("c")))
+            least = exact.withColumn("n", running).where(F.col("n") <= room + n).agg(F.min("c")).first()[0] or least
             break
         least = lowest
     head = sorted(((bytes(r.word), int(r.c)) for r in words.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
