@@ -11,12 +11,14 @@ bounded size, so no task holds a whole part. Equal vectors are one entry with it
 appear in a result at most, so none is lost), and equal queries are searched once.
 
 Edge cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, nor do rows
-without id or of another than the commonest length; repeated rows of one id and vector count once; a row is never its
+without id; vectors of different lengths are compared over the components that both have (the router sees the commonest length,
+others cut or filled with zeros); repeated rows of one id and vector count once; a row is never its
 own neighbour; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,7 +100,7 @@ class Router:
     probes: int = 1
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def best(self, x: np.ndarray, n: int) -> np.ndarray:
@@ -146,28 +148,57 @@ def fit_router(x: np.ndarray, rows: int, seed: int = 5) -> Router:
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    """rows (id, vec): those that take part, each (id, vec) once."""
+    """rows (id, vec): those that take part."""
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
-    sizes = sorted(((-int(r.n), int(r.s)) for r in rows.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).collect()))
-    return rows.where(F.size("vec") == (sizes[0][1] if sizes else 0))
+    return rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
+
+
+def commonest_length(rows: DataFrame) -> int:
+    row = rows.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).agg(F.max_by("s", F.struct("n", "s")).alias("s")).first()
+    return int(row.s or 1)
+
+
+def of_length(vectors: Iterable, d: int) -> np.ndarray:
+    """Vectors as rows of d components, cut or filled with zeros."""
+    vectors = list(vectors)
+    if all(len(v) == d for v in vectors):
+        return np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), d)
+    out = np.zeros((len(vectors), d))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v[:d]
+    return out
+
+
+def by_length(vectors: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length."""
+    lengths = vectors.map(len).to_numpy()
+    groups = [np.flatnonzero(lengths == n) for n in np.unique(lengths)]
+    return [(own, np.array([np.asarray(vectors.iloc[i], np.float64) for i in own])) for own in groups]
 
 
 def block_search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k + 1 best (cost, id) of one block of rows for each query of a block; cost is the negated score."""
     out = []
     if len(rows) and len(queries):
-        x, q = np.array(rows.vec.tolist(), np.float64), np.array(queries.vec.tolist(), np.float64)
-        ids, rough = rows.ids.tolist(), q @ x.T
-        n = min(len(x), k + 1)
-        least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
-        # a bound on how far two orders of summation differ, so that every vector that may be among the best is kept
-        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        for i, query in enumerate(queries["query"]):
-            found = np.flatnonzero(rough[i] >= least[i] - slack[i])
-            exact = (x[found] * q[i]).sum(axis=1)  # one order of summation for every row, so equal vectors tie
-            top = sorted(((-s, int(v)) for s, j in zip(exact, found, strict=True) for v in ids[j]))[: k + 1]
-            out.append((query, top))
+        ids, asked, rows_by = rows.ids.tolist(), queries["query"].tolist(), by_length(rows.vec)
+        n = min(len(rows), k + 1)
+        longest = max(np.linalg.norm(x, axis=1).max() for _, x in rows_by)
+        for numbers, q in by_length(queries.vec):
+            rough = np.empty((len(q), len(rows)))
+            for own, x in rows_by:
+                both = min(x.shape[1], q.shape[1])
+                rough[:, own] = q[:, :both] @ x[:, :both].T
+            least = np.partition(rough, len(rows) - n, axis=1)[:, len(rows) - n]
+            # a bound on how far two orders of summation differ, so that every vector that may be among the best is kept
+            slack = 4 * q.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * longest
+            for i, number in enumerate(numbers):
+                top = []
+                for own, x in rows_by:
+                    found = np.flatnonzero(rough[i, own] >= least[i] - slack[i])
+                    both = min(x.shape[1], q.shape[1])
+                    exact = (x[found, :both] * q[i, :both]).sum(axis=1)  # one order of summation for every row, so equal vectors tie
+                    top += [(-s, int(v)) for s, j in zip(exact, own[found], strict=True) for v in ids[j]]
+                out.append((asked[number], sorted(top)[: k + 1]))
     return pd.DataFrame(out, columns=["query", "found"])
 
 
@@ -175,6 +206,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_i
     """query_id, rank (from 1), id, score: the k nearest found of each row whose id ``every`` divides."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
     rows = valid(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
+    d = commonest_length(rows)
     first = W.partitionBy("vec").orderBy("id")
     few = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     entries = scratch.save(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
@@ -182,17 +214,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_i
     queries = scratch.save(asked.groupBy("vec").agg(F.count("*").alias("askers"), F.min("id").alias("query")), "queries")
     n_rows = entries.count()
     drawn = hash_sample(entries.withColumn("first", F.col("ids")[0]), "first", 0, sample).select("vec").collect()
-    x = np.array([r.vec for r in drawn], np.float64)
-    router = fit_router(x, n_rows) if len(x) else Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    x = of_length((r.vec for r in drawn), d)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    router = fit_router(x, n_rows) if len(x) else Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
 
     def place(batches):
         for pdf in batches:
-            pdf["part"] = router.best(np.array(pdf.vec.tolist(), np.float64), 1)[:, 0] if len(pdf) else 0
+            pdf["part"] = router.best(of_length(pdf.vec, d), 1)[:, 0] if len(pdf) else 0
             yield pdf
 
     def route(batches):
         for pdf in batches:
-            pdf["parts"] = list(router.best(np.array(pdf.vec.tolist(), np.float64), router.probes)) if len(pdf) else []
+            pdf["parts"] = list(router.best(of_length(pdf.vec, d), router.probes)) if len(pdf) else []
             yield pdf
 
     kind = dict(entries.dtypes)["vec"]
