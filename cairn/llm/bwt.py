@@ -47,24 +47,36 @@ def build_shard(strings: list[bytes], depth: int) -> Shard:
     for _ in range(STRIDE):
         packed = (packed << np.uint64(SYMBOL_BITS)) | symbols[at]
         at = step[at]
-    key, known = packed, STRIDE
-    while True:
-        order = np.argsort(key, kind="stable")
-        change = np.r_[False, np.diff(key[order]) != 0]
-        if known >= depth or change.sum() == len(change) - 1:
-            break
-        rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(change).astype(np.uint64)
-        key, known = (rank << np.uint64(32)) | rank[ahead(known)], 2 * known
+    rank, known = dense_rank(packed), STRIDE
+    while known < depth and int(rank.max(initial=0)) < len(rank) - 1:
+        rank, known = dense_rank((rank << np.uint64(31)) | rank[ahead(known)]), 2 * known
+    order = placed_order(rank)[0]
     return Shard(owner[order], offset[order], symbols[ahead(-1)][order].astype(np.uint16), packed[ahead(-STRIDE)][order])
 
 
+def dense_rank(keys: np.ndarray) -> np.ndarray:
+    """The number of distinct smaller keys, for each key."""
+    order = np.argsort(keys)
+    line = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.r_[False, line[1:] != line[:-1]][: len(keys)], dtype=np.uint64)
+    return out
+
+
+def placed_order(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of small numbers, and the numbers in it: each carries its place in its low bits, so that values are sorted."""
+    bits = np.uint64(max(1, len(ranks) - 1).bit_length())
+    held = np.sort((ranks << bits) | np.arange(len(ranks), dtype=np.uint64))
+    return (held & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), held >> bits
+
+
 def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, block) in merged order: the rotation's place in the shards laid end to end, and the number of its block.
 
     Rotations of one block, and only those, agree in their first ``depth`` symbols.
     """
-    before, before_stride = np.concatenate([s.before for s in shards]), np.concatenate([s.before_stride for s in shards])
+    before = np.concatenate([s.before for s in shards]).astype(np.uint64)
+    before_stride = dense_rank(np.concatenate([s.before_stride for s in shards]))
     n = len(before)
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.owner) for s in shards])
     block = np.zeros(n, np.int32)
@@ -73,8 +85,8 @@ def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarra
     for m in [1] * (depth % STRIDE) + [STRIDE] * (depth // STRIDE):
         row[np.argsort(interleave, kind="stable")] = line  # the next of its shard, for each place
         symbol = (before if m == 1 else before_stride)[row]
-        order = np.argsort(symbol, kind="stable")
-        symbol, block, interleave = symbol[order], block[order], interleave[order]
+        order, symbol = placed_order(symbol)
+        block, interleave = block[order], interleave[order]
         block = np.cumsum(np.r_[False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])], dtype=np.int32)
     row[np.argsort(interleave, kind="stable")] = line
     return row, block

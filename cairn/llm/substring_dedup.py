@@ -37,7 +37,7 @@ from .common import mix64, slices, text_or_empty
 WIDTH, GRAM = 50, 24
 PART_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
-MERGE_BYTES = 1 << 18
+MERGE_BYTES = 1 << 17
 SHARDS = 8
 NO_ID = np.iinfo(np.int64).max
 
