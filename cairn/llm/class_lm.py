@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc, mix64, text_or_empty
+from .common import Scratch, id_crc, mix64, small_batches, text_or_empty
 
 TOP_WORDS, SYMBOLS, CLASSES, SUFFIX = 768, 1024, 64, 3
 LEAST_COUNT = 100
@@ -43,8 +43,8 @@ END = SYMBOLS - 1
 HEAD_WORDS = 1 << 17
 SWEEPS = 12
 ENOUGH = 0.01
-ENTRIES, BUCKET_TOKENS, BUCKETS = 2_000_000, 2_000_000, 64
-FLUSH = 300_000
+ENTRIES, BUCKET_TOKENS, BUCKETS = 1_000_000, 2_000_000, 64
+FLUSH, MET = 300_000, 100_000
 SPLIT_MOD, HELD_OUT = 7, 2
 
 
@@ -244,7 +244,7 @@ class Coder:
                 i = int(np.searchsorted(self.tail, h))
                 if i < len(self.tail) and self.tail[i] == h:
                     p = self.n_head + i
-            if len(self.met) > FLUSH:
+            if len(self.met) > MET:
                 self.met.clear()
             self.met[word] = p
         return p
@@ -365,7 +365,9 @@ def class_pairs(table: DataFrame, own: np.ndarray, low: int, high: int, rest: np
                 total += np.bincount(np.where(side == 0, x * classes + y, y * classes + x)[once], n[once], classes * classes)
         yield pd.DataFrame({"t": [total.astype(np.int64).tobytes()]})
 
-    return rest + sum(np.frombuffer(r.t, np.int64).reshape(classes, classes) for r in table.select("codes", "counts").mapInPandas(count, "t binary").collect())
+    with small_batches(table.sparkSession):
+        got = table.select("codes", "counts").mapInPandas(count, "t binary").collect()
+    return rest + sum(np.frombuffer(r.t, np.int64).reshape(classes, classes) for r in got)
 
 
 def moved(table: DataFrame, own: np.ndarray, pairs: np.ndarray, half: int, classes: int) -> np.ndarray:
@@ -389,7 +391,9 @@ def moved(table: DataFrame, own: np.ndarray, pairs: np.ndarray, half: int, class
             yield pd.DataFrame({"ids": [np.concatenate(ids).tobytes()], "to": [np.concatenate(to).astype(np.uint8).tobytes()]})
 
     out = own.copy()
-    for r in table.select("codes", "counts").mapInPandas(move, "ids binary, to binary").collect():
+    with small_batches(table.sparkSession):
+        got = table.select("codes", "counts").mapInPandas(move, "ids binary, to binary").collect()
+    for r in got:
         out[np.frombuffer(r.ids, np.int64)] = np.frombuffer(r.to, np.uint8)
     return out
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers of the jobs started inside see batches of BATCH_BYTES."""
+    held = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING) if held is None else spark.conf.set(BATCH_SETTING, held)
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and survive the loss of any executor."""
 
@@ -53,12 +65,9 @@ class Scratch:
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path, held = f"{self.root}/{name}", self.spark.conf.get(BATCH_SETTING, None)
-        self.spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-        try:
+        path = f"{self.root}/{name}"
+        with small_batches(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.unset(BATCH_SETTING) if held is None else self.spark.conf.set(BATCH_SETTING, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
