@@ -221,14 +221,17 @@ def finalize_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FINAL_SQL = rf"""{_Q_SQL},
-  k AS (SELECT id, row_number() OVER (ORDER BY id) AS i, trim(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS kq, qtype || ':' || array_to_string(list_sort(gold), ',') AS kg FROM r WHERE len(reasons) = 0),
-  fold AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::VARCHAR AS why, []::VARCHAR[] AS sq, []::VARCHAR[] AS sg
-    UNION ALL SELECT i, id, why, CASE WHEN why IS NULL THEN list_append(sq, kq) ELSE sq END, CASE WHEN why IS NULL THEN list_append(sg, kg) ELSE sg END
-    FROM (SELECT k.i, k.id, k.kq, k.kg, f.sq, f.sg, CASE WHEN list_contains(f.sq, k.kq) THEN 'duplicate_question' WHEN list_contains(f.sg, k.kg) THEN 'duplicate_gold_set' END AS why FROM fold f JOIN k ON k.i = f.i + 1)),
-  done AS (SELECT r.*, CASE WHEN len(r.reasons) > 0 THEN r.reasons WHEN f.why IS NOT NULL THEN [f.why] ELSE []::VARCHAR[] END AS all_reasons FROM r LEFT JOIN (SELECT id, why FROM fold WHERE id IS NOT NULL) f USING (id))"""
+  k AS MATERIALIZED (SELECT id, trim(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS kq, qtype || ':' || array_to_string(list_sort(gold), ',') AS kg FROM r WHERE len(reasons) = 0),
+  l AS (SELECT list({{'id': id, 'q': kq, 'g': kg, 'ids': []::BIGINT[], 'sq': []::VARCHAR[], 'sg': []::VARCHAR[]}} ORDER BY id) AS rows FROM k),
+  f AS MATERIALIZED (SELECT list_reduce(list_prepend({{'id': -1::BIGINT, 'q': '', 'g': '', 'ids': []::BIGINT[], 'sq': []::VARCHAR[], 'sg': []::VARCHAR[]}}, rows), lambda s, x: CASE WHEN list_contains(s.sq, x.q) OR list_contains(s.sg, x.g) THEN s
+    ELSE {{'id': x.id, 'q': '', 'g': '', 'ids': list_append(s.ids, x.id), 'sq': list_append(s.sq, x.q), 'sg': list_append(s.sg, x.g)}} END).ids AS ids FROM l),
+  taken AS MATERIALIZED (SELECT k.* FROM k JOIN (SELECT unnest(ids) AS id FROM f) USING (id)),
+  first AS (SELECT kq, min(id) AS id FROM taken GROUP BY kq),
+  fold AS (SELECT k.id, CASE WHEN t.id IS NOT NULL THEN NULL WHEN p.id < k.id THEN 'duplicate_question' ELSE 'duplicate_gold_set' END AS why FROM k LEFT JOIN taken t ON t.id = k.id LEFT JOIN first p ON p.kq = k.kq),
+  done AS (SELECT r.*, CASE WHEN len(r.reasons) > 0 THEN r.reasons WHEN f.why IS NOT NULL THEN [f.why] ELSE []::VARCHAR[] END AS all_reasons FROM r LEFT JOIN fold f USING (id))"""
 
 
-@query(rf"""WITH RECURSIVE {_FINAL_SQL} SELECT id, qtype, array_to_string(all_reasons, ',') AS reasons, len(all_reasons) = 0 AS final FROM done""")
+@query(rf"""WITH {_FINAL_SQL} SELECT id, qtype, array_to_string(all_reasons, ',') AS reasons, len(all_reasons) = 0 AS final FROM done""")
 def finalize_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The finalised benchmark."""
     done = gates.finalise(gates.finalise_reasons(*_questions(spark, sf)), "id")
@@ -238,7 +241,7 @@ def finalize_dedup(spark: SparkSession, sf: str) -> DataFrame:
 _COUNTED = lambda rows, key: rf"""(SELECT '{{{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}}}' FROM (SELECT {key} AS k, count(*) AS n FROM {rows} GROUP BY 1))"""
 
 
-@query(rf"""WITH RECURSIVE {_FINAL_SQL}, fin AS (SELECT *, CASE WHEN vk > 1 THEN 'g' ELSE '?' END AS gm, CASE vk WHEN 0 THEN 'unknown' WHEN 1 THEN '?' ELSE 'j' END AS jm FROM done WHERE len(all_reasons) = 0)
+@query(rf"""WITH {_FINAL_SQL}, fin AS (SELECT *, CASE WHEN vk > 1 THEN 'g' ELSE '?' END AS gm, CASE vk WHEN 0 THEN 'unknown' WHEN 1 THEN '?' ELSE 'j' END AS jm FROM done WHERE len(all_reasons) = 0)
   SELECT {_COUNTED('fin', 'qtype')} AS by_type, {_COUNTED('fin', "CASE WHEN notes LIKE '%review:llm%' THEN 'llm' ELSE 'human' END")} AS review_modes, {_COUNTED('(SELECT unnest(all_reasons) AS r FROM done)', 'r')} AS rejected_by_reason,
     (SELECT '["' || string_agg(DISTINCT gm, '","' ORDER BY gm) || '"]' FROM fin) AS generator_models, (SELECT '["' || string_agg(DISTINCT jm, '","' ORDER BY jm) || '"]' FROM fin) AS judge_models,
     (SELECT count(*) FROM fin WHERE gm = jm) AS self_judged_questions, (SELECT count(*) FROM fin WHERE gm = 'g') AS stability_self_judged_questions, (SELECT count(*) FROM done WHERE len(all_reasons) > 0) AS rejected_total""".replace("{{", "{").replace("}}", "}"))
