@@ -59,3 +59,13 @@ def test_query(spark, sf):
     for k, t in turns.items():
         assert rows[k].n_turns == len(t) and rows[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
         assert rows[k].loss_sha256 == hashlib.sha256("".join(b for a, b in t if a == "assistant").encode()).hexdigest()
+
+
+TREE = "node string, parent string, tree string, role string, text string, score double"
+
+
+def test_cycles_are_cut_and_repeated_nodes_count_once(spark):
+    rows = [("a", "b", "t", "user", "A", 1.0), ("b", "a", "t", "assistant", "B", 1.0), ("c", "b", "t", "user", "C", 3.0), ("r", None, "u", "user", "R", 1.0), ("r", None, "u", "user", "R", 1.0), ("s", "r", "u", "assistant", "S", 1.0), ("x", "x", "v", "user", "X", 1.0)]
+    got = {(r.tree, r.branch): r.formatted for r in chat.format_trees(spark.createDataFrame(rows, TREE), branches=5).collect()}
+    turn = lambda role, text: f"<s>[INST] {role} [/INST]{text}</s>"
+    assert got == {("t", 1): turn("user", "A") + turn("assistant", "B") + turn("user", "C"), ("u", 1): turn("user", "R") + turn("assistant", "S"), ("v", 1): turn("user", "X")}

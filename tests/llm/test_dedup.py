@@ -213,3 +213,17 @@ def test_shards_are_sorted_and_merge_without_comparing():
     where = [(i, int(o)) for i, p in enumerate(parts) for o in p.offset]
     merged = [turn(strings[where[r][0]], where[r][1])[:3] for r in row]
     assert merged == sorted(merged) and all((merged[i] == merged[i - 1]) == (block[i] == block[i - 1]) for i in range(1, len(row)))
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a = " ".join(f"alpha{i}" for i in range(60))
+    b = " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, "something else entirely")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        assert sorted((r.id, r.component) for r in near_dedup.near_components(df, 3, 85).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_exact_copies_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a  b", 7, "q", 1), (2, "a b", 8, "r", 2)], "doc_id long, text string, _key int, digest string, row int")
+    assert [tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()] == [(1, "a  b", 7, "q", 1)]

@@ -181,3 +181,47 @@ def test_whole_words_of_one_or_two_letters_are_met(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], LABELS.replace(", text string", ""))
     rows = toxicity.severity(docs, labels).collect()
     assert all(r.predicted == r.id % 2 for r in rows)
+
+
+def test_quality_and_toxicity_scores_by_hand(spark, sf, small_docs):
+    """The distributed scores are those of the fitted models, recomputed one text at a time in plain Python."""
+    given = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = dict(pairs(small_docs))
+    model = quality.train(quality.inputs(small_docs, "doc_id", "text"), given)
+    for r in quality.quality_scores(small_docs, given).limit(40).collect():
+        t = texts[r.id].encode()
+        z = model.bias + sum(model.weights[np.searchsorted(e, np.float32(x), "right") + j * (len(e) + 1)] for j, (e, x) in enumerate(zip(model.edges, quality.features(t), strict=True)))
+        shares = Counter((((t[i] << 16) + (t[i + 1] << 8) + t[i + 2]) * 2654435761 % (1 << 32)) >> 22 for i in range(len(t) - 2))
+        z += sum(math.sqrt(n / (len(t) - 2)) * quality.GRAM_SCALE * model.gram_weights[b] for b, n in shares.items())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+    rows = small_docs.selectExpr("doc_id id", "coalesce(text, '') text", "crc32(cast(doc_id as string)) % 5 = 0 held_out")
+    ordinal, vocabulary = toxicity.train(rows, given, toxicity.Scratch(spark, "test"))
+    place = {t: i for i, t in enumerate(vocabulary)}
+    for r in toxicity.severity(small_docs, given).limit(40).collect():
+        counts = Counter(place[t] for w in toxicity.WORD.findall(texts[r.id].lower()) for t in toxicity.terms_of(w) if t in place)
+        z = sum(ordinal.weights[i] * math.log1p(n) for i, n in counts.items())
+        assert r.expected_severity == pytest.approx(sum(1 / (1 + math.exp(min(60, max(-60, k - z)))) for k in ordinal.thresholds))
+
+
+def test_the_ordinal_fit_is_a_minimum():
+    """No small change of a weight or threshold raises the likelihood, which is written out here case by case."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    grades = np.clip(np.round(x @ [1.0, -0.5, 0.2] + rng.normal(size=300) + 1), 0, 3).astype(int)
+    rows, cols = np.repeat(np.arange(300), 3), np.tile(np.arange(3), 300)
+    model = toxicity.fit_ordinal(rows, cols, x.ravel(), grades, 3, steps=4000, rate=0.02, decay=0.0)
+
+    def likelihood(w, th):
+        total = 0.0
+        for xi, g in zip(x, grades, strict=True):
+            below = [0.0, *(1 / (1 + math.exp(-(k - xi @ w))) for k in th), 1.0]
+            total += math.log(below[g + 1] - below[g])
+        return total
+
+    best = likelihood(model.weights, model.thresholds)
+    for i in range(6):
+        for step in (-0.02, 0.02):
+            theta = np.r_[model.weights, model.thresholds]
+            theta[i] += step
+            assert likelihood(theta[:3], theta[3:]) < best + 1e-3

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,3 +124,29 @@ def test_packing_query(spark, sf, small_docs, reference):
     rows = df.toDF("id", "piece", "start", "length", "crc", "sequence", "place").collect()
     bins = holds(rows, pairs(small_docs), lambda t: reference.encode(t, add_special_tokens=False).ids)
     assert bins <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_every_small_case_is_packed_best():
+    """Against all packings: fillings of equal waste and shorter runs are tried, too."""
+    assert sum(k for _, k in packing.complete_bins(Counter([50, 41, 39, 37, 33, 30, 27, 23, 20]), 100)) == 3
+    rng = random.Random(3)
+
+    def best(items, bins, cap, bound):
+        if len(bins) >= bound:
+            return bound
+        if not items:
+            return len(bins)
+        for i, room in enumerate(bins):
+            if room >= items[0] and room not in bins[:i]:
+                bound = best(items[1:], [*bins[:i], room - items[0], *bins[i + 1 :]], cap, bound)
+        return best(items[1:], [*bins, cap - items[0]], cap, bound)
+
+    for _ in range(1500):
+        cap = rng.choice([10, 20, 50, 100])
+        items = sorted((rng.randint(max(1, cap // 6), cap * 2 // 3) for _ in range(rng.randint(1, 9))), reverse=True)
+        got = packing.complete_bins(Counter(items), cap)
+        used = Counter()
+        for content, times in got:
+            assert sum(content) <= cap
+            used.update({n: times * content.count(n) for n in set(content)})
+        assert used == Counter(items) and sum(k for _, k in got) == best(items, [], cap, len(items) + 1)
