@@ -145,7 +145,14 @@ def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts:
     return False
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c
+    return least_bins(counts, capacity)
+
+
+def least_bins(counts: np.ndarray, capacity: int) -> int:
     """Bins needed at least, the greatest over all k: pieces over capacity - k are alone, those over half each have a bin, and
     what pieces of k up to half leave over the room of those needs bins of its own. k = 0 is the volume."""
     n = np.arange(capacity + 1)
@@ -201,7 +208,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
     if not counts.any():
         return []
     incumbent = best_fit_decreasing({n: c for n, c in histogram.items() if c}, capacity)
-    n_best, bound = sum(k for _, k in incumbent), lower_bound(counts, capacity)
+    n_best, bound = sum(k for _, k in incumbent), least_bins(counts, capacity)
     seen: dict[bytes, int] = {}
 
     def children(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
@@ -228,7 +235,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
         nodes -= 1
         content, times, left = step
         n_now = n_done + times
-        if n_now + lower_bound(left, capacity) >= n_best:
+        if n_now + least_bins(left, capacity) >= n_best:
             continue
         if not left.any():
             n_best, incumbent = n_now, [*path, (content, times)]
