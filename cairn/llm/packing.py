@@ -20,9 +20,12 @@ packed each for itself; a null id is packed last of its length; an empty table g
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_or_empty
 
 CAPACITY = 2048
-NODES = 4_000
+NODES, OPEN_FRAMES = 4_000, 32
 END_ID = 0
 
 # --- tokens ---------------------------------------------------------------------------------------------------
@@ -196,6 +199,16 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return [(content, k) for spot in bins.values() for content, k in spot.items()]
 
 
+@dataclass
+class Frame:
+    """A node of the search: bins so far, what is left, its choices and how many of them were taken."""
+
+    bins: int
+    left: np.ndarray
+    choices: Iterator | None
+    taken: int = 0
+
+
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in a bin, number of such bins)] for all pieces of the histogram, in as few bins as found.
 
@@ -223,16 +236,20 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
                 yield (large, *filling), times, left - times * uses
 
     path: list[tuple[tuple[int, ...], int]] = []
-    stack = [(0, children(counts))]
+    stack = [Frame(0, counts, children(counts))]
     while stack and n_best > bound and nodes:
-        n_done, choices = stack[-1]
-        step = next(choices, None)
+        frame = stack[-1]
+        n_done = frame.bins
+        if frame.choices is None:  # deep frames let their enumeration go, and take it up again where it was
+            frame.choices = islice(children(frame.left), frame.taken, None)
+        step = next(frame.choices, None)
         if step is None:
             stack.pop()
             if path:
                 path.pop()
             continue
         nodes -= 1
+        frame.taken += 1
         content, times, left = step
         n_now = n_done + times
         if n_now + least_bins(left, capacity) >= n_best:
@@ -240,11 +257,13 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
         if not left.any():
             n_best, incumbent = n_now, [*path, (content, times)]
             continue
-        key = left.tobytes()
+        key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
         if seen.get(key, n_now + 1) > n_now:
             seen[key] = n_now
             path.append((content, times))
-            stack.append((n_now, children(left)))
+            stack.append(Frame(n_now, left, children(left)))
+            if len(stack) > OPEN_FRAMES:
+                stack[-OPEN_FRAMES - 1].choices = None
     return incumbent
 
 
