@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_crc, text_or_empty
+from .common import hash_sample, id_crc, small_batches, text_or_empty
 
 #: Positives, and unlabelled rows, that the fit takes at most.
 SAMPLE = 10_000
@@ -130,18 +130,18 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, pos_grams
     model = PuModel(edges, np.zeros(edges.shape[0] * (edges.shape[1] + 1)), 0.0)
     width, some = len(model.weights), pos_grams is not None and unl_grams is not None
     n_grams = pos_grams.shape[1] if some else 0
-    scaled = lambda g, n: np.float32(GRAM_SCALE) * g if some else np.zeros((n, 0), np.float32)
-    pos, unl = (model.encode(positive), scaled(pos_grams, len(positive))), (model.encode(unlabelled), scaled(unl_grams, len(unlabelled)))
+    held = lambda g, n: g if some else np.zeros((n, 0), np.float32)
+    pos, unl = (model.encode(positive), held(pos_grams, len(positive))), (model.encode(unlabelled), held(unl_grams, len(unlabelled)))
     theta, m, v = (np.zeros(width + 1 + n_grams) for _ in range(3))
     shrink = np.r_[np.full(width, decay), 0.0, np.full(n_grams, GRAM_DECAY)]
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
     loss = lambda z: np.logaddexp(0, -z)
-    value = lambda rows: theta[width] + theta[rows[0]].sum(1) + rows[1] @ theta[width + 1 :].astype(np.float32)
+    value = lambda rows: theta[width] + theta[rows[0]].sum(1) + rows[1] @ (GRAM_SCALE * theta[width + 1 :]).astype(np.float32)
 
     def gradient(rows: tuple[np.ndarray, np.ndarray], slope: np.ndarray) -> np.ndarray:
         bins, g = rows
         own = np.bincount(bins.ravel(), np.repeat(slope, bins.shape[1]), width) / len(bins)
-        return np.r_[own, slope.mean(), slope.astype(np.float32) @ g / len(bins)]
+        return np.r_[own, slope.mean(), GRAM_SCALE * (slope.astype(np.float32) @ g) / len(bins)]
 
     for t in range(1, steps + 1):
         zp, zu = value(pos), value(unl)
@@ -169,10 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> PuModel:
             x, g = encoded([bytes(t) for t in pdf.text])
             yield pd.DataFrame({"id": pdf.id, "side": pdf.side, "x": [r.astype(np.float32).tobytes() for r in x], "g": [r.astype(np.float16).tobytes() for r in g]})
 
-    got = sorted(rows.mapInPandas(compute, "id string, side int, x binary, g binary").collect(), key=lambda r: (r.side, r.id))
-    of = lambda side, name, kind: np.array([np.frombuffer(r[name], kind) for r in got if r.side == side], np.float32)
-    shape = lambda side: of(side, "x", np.float32).astype(np.float64)
-    return fit_pu(shape(1), shape(0), prior, of(1, "g", np.float16), of(0, "g", np.float16))
+    with small_batches(docs.sparkSession):
+        got = rows.mapInPandas(compute, "id string, side int, x binary, g binary").collect()
+    got.sort(key=lambda r: (r.side, r.id))
+    of = lambda side, name, kind, width: np.frombuffer(b"".join(r[name] for r in got if r.side == side), kind).astype(np.float32).reshape(-1, width)
+    x, g = [of(side, "x", np.float32, N_FEATURES).astype(np.float64) for side in (1, 0)], [of(side, "g", np.float16, GRAMS) for side in (1, 0)]
+    del got
+    return fit_pu(x[0], x[1], prior, g[0], g[1])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
