@@ -99,9 +99,9 @@ def piece_table(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_c
 # --- the search over the histogram ----------------------------------------------------------------------------
 
 
-def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...]]:
+def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...] | None]:
     """The undominated fillings of ``room`` out of ``counts`` (by length), one after another: by rising waste, then with the larger
-    pieces first. Sums that the smaller lengths can reach are kept as bits, so that no step leads to a dead end."""
+    pieces first; None for each dominated one that is passed over, so that the search can count its effort. Sums that the smaller lengths can reach are kept as bits, so that no step leads to a dead end."""
     lengths = [int(n) for n in np.flatnonzero(counts[: room + 1]) if n]
     everything = (1 << (room + 1)) - 1
     reach = [1]  # reach[j]: sums of the first j lengths
@@ -127,7 +127,7 @@ def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...]]:
 
     for waste in range(room + 1):
         if reach[-1] >> (room - waste) & 1:
-            yield from (f for f in exactly(len(lengths), room - waste) if not dominated(f, waste, lengths, counts))
+            yield from (None if dominated(f, waste, lengths, counts) else f for f in exactly(len(lengths), room - waste))
 
 
 def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts: np.ndarray) -> bool:
@@ -224,17 +224,21 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
     n_best, bound = sum(k for _, k in incumbent), least_bins(counts, capacity)
     seen: dict[bytes, int] = {}
 
-    def children(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
-        """(bin, times, what is left then)"""
+    def children(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int, np.ndarray] | None]:
+        """(bin, times, what is left then), or None for a dominated filling"""
         large = int(np.flatnonzero(left)[-1])
         beside = left.copy()
         beside[large] -= 1
         for filling in fillings(capacity - large, beside):
+            if filling is None:
+                yield None
+                continue
             uses = np.bincount((large, *filling), minlength=capacity + 1)
             used = np.flatnonzero(uses)
             for times in range(int((left[used] // uses[used]).min()), 0, -1):
                 yield (large, *filling), times, left - times * uses
 
+    ended = object()
     path: list[tuple[tuple[int, ...], int]] = []
     stack = [Frame(0, counts, children(counts))]
     while stack and n_best > bound and nodes:
@@ -242,14 +246,16 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
         n_done = frame.bins
         if frame.choices is None:  # deep frames let their enumeration go, and take it up again where it was
             frame.choices = islice(children(frame.left), frame.taken, None)
-        step = next(frame.choices, None)
-        if step is None:
+        step = next(frame.choices, ended)
+        if step is ended:
             stack.pop()
             if path:
                 path.pop()
             continue
         nodes -= 1
         frame.taken += 1
+        if step is None:
+            continue
         content, times, left = step
         n_now = n_done + times
         if n_now + least_bins(left, capacity) >= n_best:
