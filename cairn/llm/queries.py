@@ -135,6 +135,44 @@ SQL = {
           FROM e GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
         FROM g""",
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS start FROM d),
+        b AS (SELECT doc_id, start, substr(h, 2 * start + 1, 2 * (512 + 49)) AS piece FROM blocks),
+        p AS (SELECT doc_id, start, piece, unnest(range(0, least(512, length(piece) // 2 - 49))) AS j FROM b),
+        k AS (SELECT doc_id, start + j AS pos, substr(piece, 2 * j + 1, 100) AS window50 FROM p),
+        f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY window50) < doc_id AS repeated FROM k),
+        o AS (
+          SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 1 ELSE 0 END AS fresh
+          FROM f WHERE repeated),
+        i AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM o),
+        r AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS b FROM i GROUP BY doc_id, span),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+        kept AS (
+          SELECT d.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+            string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last
+          FROM gap JOIN d USING (doc_id) GROUP BY d.doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+          sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+          FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (
+          SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reach JOIN link ON other = a),
+        g AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
