@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .route import LABELS
 
 EPS = 1e-9
@@ -117,20 +118,104 @@ def report_rows(rows: DataFrame, questions: DataFrame, order: tuple[str, ...] =
     return stratified(known).join(q, by, "left").join(c, by, "left").withColumn("place", place)
 
 
-def hashed_bootstrap(rows: DataFrame, by: list[str], value: str, order: str, reps: int) -> DataFrame:
+_SHIFTS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel()
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint64).astype(np.uint32)
+_DRAWN = 1 << 14  # messages hashed at once: their words stay in a core's cache
+
+
+def md5_heads(prefix: bytes, first: int, last: int) -> np.ndarray:
+    """The first 4 bytes, read as one number, of the md5 of ``prefix`` and i in decimal, for i from ``first`` to before ``last``;
+    all of them have the same number of digits."""
+    i, digits = np.arange(first, last, dtype=np.int64), len(str(first))
+    size = len(prefix) + digits
+    block = np.zeros((len(i), 64), np.uint8)
+    block[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    for d in range(digits):
+        block[:, size - 1 - d] = i // 10**d % 10 + 48
+    block[:, size] = 0x80
+    block[:, 56] = size * 8  # messages of one block: under 32 bytes here
+    words = [np.ascontiguousarray(w) for w in block.view("<u4").T]
+    a, b, c, d = (np.full(len(i), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for n in range(61):  # the last three steps leave the first word as it is
+        if n < 16:
+            f, g = d ^ (b & (c ^ d)), n
+        elif n < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * n + 1) % 16
+        elif n < 48:
+            f, g = b ^ c ^ d, (3 * n + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * n % 16
+        f = f + a + _SINES[n] + words[g]
+        s = int(_SHIFTS[n])
+        a, d, c, b = d, c, b, b + ((f << np.uint32(s)) | (f >> np.uint32(32 - s)))
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Values as codes of one byte beside the distinct ones, where those are few; else as they are."""
+    kinds, codes = np.unique(values, return_inverse=True)
+    return b"c" + np.uint32(len(kinds)).tobytes() + kinds.tobytes() + codes.astype(np.uint8).tobytes() if len(kinds) <= 256 else b"v" + values.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """(codes, distinct values), or (values, None)."""
+    if blob[:1] == b"v":
+        return np.frombuffer(blob, np.float64, offset=1), None
+    n = int(np.frombuffer(blob, np.uint32, 1, 1)[0])
+    return np.frombuffer(blob, np.uint8, offset=5 + 8 * n), np.frombuffer(blob, np.float64, n, 5)
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The blocks of one group as one array of codes, or of values."""
+    parts = [_unpacked(b) for b in blobs]
+    kinds = np.unique(np.concatenate([x if k is None else k for x, k in parts]))
+    if len(kinds) > 256:
+        return np.concatenate([x if k is None else k[x] for x, k in parts]), None
+    return np.concatenate([np.searchsorted(kinds, x if k is None else k)[slice(None) if k is None else x].astype(np.uint8) for x, k in parts]), kinds
+
+
+def hashed_means(groups: list[tuple[np.ndarray, np.ndarray | None]], rep: int) -> list[float]:
+    """The mean of one replicate for each group: position i draws the value at md5('rep:i') modulo the group's size."""
+    sums, most, at = [0.0] * len(groups), max(len(x) for x, _ in groups), 0
+    while at < most:
+        end = min(most, at + _DRAWN, 10 ** len(str(at)))
+        heads = md5_heads(b"%d:" % rep, at, end)
+        for n, (x, kinds) in enumerate(groups):
+            drawn = x[heads[: max(0, len(x) - at)] % np.uint32(len(x))]
+            sums[n] += float(drawn.sum()) if kinds is None else float(np.bincount(drawn, minlength=len(kinds)) @ kinds)
+        at = end
+    return [s / len(x) for s, (x, _) in zip(sums, groups, strict=True)]
+
+
+def hashed_bootstrap(rows: DataFrame, by: list[str], value: str, order: str, reps: int, block: int = 1 << 20, pieces: int = 100) -> DataFrame:
     """The portable bootstrap: the draw for (replicate, position) comes from md5, so any SQL engine gives the same interval.
 
-    Values stay where they are: replicates multiply rows inside a map-side aggregation over (group, replicate).
+    A draw is never a row. Values are packed in blocks of positions (a byte a value where few are distinct, as recalls are); every
+    piece of the replicates gets them all and hashes (replicate, position) once for all groups. A task holds a byte (or 8) a row.
     """
     place = W.partitionBy(*by).orderBy(order)
-    listed = rows.where(F.col(value).isNotNull()).select(*by, order, value).withColumn("i", F.row_number().over(place) - 1)
-    sizes = listed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    draws = listed.select(*by, "i").join(sizes, by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.withColumn("pick", pick).join(listed.select(*by, F.col("i").alias("pick"), value), [*by, "pick"])
-    means = drawn.groupBy(*by, "rep").agg(F.avg(value).alias("m"))
+    listed = rows.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("_v")).withColumn("i", F.row_number().over(place).cast("long") - 1)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, len(pdf), float(pdf._v.sum()), _packed(pdf.sort_values("i")._v.to_numpy(float)))], columns=[*by, "part", "n", "s", "data"])
+
+    parts = listed.withColumn("part", F.floor(F.col("i") / block).cast("long")).groupBy(*by, "part").applyInPandas(pack, f"{kinds}, part long, n long, s double, data binary")
+    path = shared_folder(rows.sparkSession, "bootstrap")
+    parts.write.parquet(path)
+    parts = rows.sparkSession.read.parquet(path)
+    sizes = parts.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    pieces = min(pieces, reps)
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(k, _joined(list(g.sort_values("part").data))) for k, g in pdf.groupby(by, dropna=False)]
+        return pd.DataFrame([(*k, rep, m) for rep in range(key[0], reps, pieces) for (k, _), m in zip(own, hashed_means([x for _, x in own], rep), strict=True)], columns=[*by, "rep", "m"])
+
+    dealt = parts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).repartition(pieces, "piece")
+    means = dealt.groupBy("piece").applyInPandas(draw, f"{kinds}, rep int, m double")
     ends = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return sizes.join(ends, by)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]
+    return sizes.alias("s").join(ends.alias("e"), same).select(*[f"s.{c}" for c in by], "n", "mean", "lo", "hi")
 
 
 def paired(rows: DataFrame, reference: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -85,3 +86,19 @@ def test_oracles_and_training_pairs(spark):
     assert [len(E.training_pairs(q, s).collect()) for s in ("v1", "v2", "v2_sufficient")] == [1, 1, 0]
     stats = {r.label: r.warnings for r in E.label_stats(E.oracle_v1(rows)).collect()}
     assert stats["UNCERTAIN"] == "few_labels,many_insufficient"
+
+
+def test_md5_heads_are_those_of_the_library():
+    for prefix, first, last in ((b"0:", 0, 10), (b"999:", 90, 100), (b"17:", 123456, 123999)):
+        assert E.md5_heads(prefix, first, last).tolist() == [int(hashlib.md5(prefix + b"%d" % i).hexdigest()[:8], 16) for i in range(first, last)]
+
+
+@pytest.mark.parametrize("distinct", [4, 1000])
+def test_hashed_bootstrap_against_direct_draws(spark, distinct):
+    """Groups of several blocks, a null group, values of few and of many kinds, missing ones left out."""
+    rows = [(g, i, None if i % 9 == 0 else float((i * 7919 + n) % distinct) / 4) for n, (g, size) in enumerate((("a", 700), ("b", 131), (None, 1300))) for i in range(size)]
+    got = {r.g: (r.n, r.mean, r.lo, r.hi) for r in E.hashed_bootstrap(spark.createDataFrame(rows, "g string, i long, v double"), ["g"], "v", "i", 30, block=250, pieces=7).collect()}
+    for g in ("a", "b", None):
+        v = np.array([x for k, _, x in rows if k == g and x is not None])
+        m = [np.mean([v[int(hashlib.md5(b"%d:%d" % (rep, i)).hexdigest()[:8], 16) % len(v)] for i in range(len(v))]) for rep in range(30)]
+        assert got[g] == pytest.approx((len(v), v.mean(), np.percentile(m, 2.5), np.percentile(m, 97.5)))
