@@ -177,9 +177,11 @@ def noisy_gold(questions: DataFrame, chunks: DataFrame, limit: float = NOISE_LIM
 
 
 def parse_failures(records: DataFrame, texts: DataFrame) -> DataFrame:
-    """(paper_id, reason) of records whose text is missing or empty: what stands against publishing an index."""
-    met = records.select("paper_id").join(texts.select("paper_id", "text"), "paper_id", "left")
-    reason = F.when(F.col("text").isNull(), "missing").when(stripped(F.col("text")) == "", "empty")
+    """(paper_id, reason) of records whose text is missing or empty: what stands against publishing an index. One row a record,
+    however many texts it has; only what is known of a text travels."""
+    own = texts.where("text is not null").groupBy("paper_id").agg(F.bool_and(stripped(F.col("text")) == "").alias("blank"))
+    met = records.select("paper_id").join(own, "paper_id", "left")
+    reason = F.when(F.col("blank").isNull(), "missing").when(F.col("blank"), "empty")
     return met.select("paper_id", reason.alias("reason")).where("reason is not null")
 
 
