@@ -188,7 +188,7 @@ def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
 def gold_hydrate(spark: SparkSession, sf: str) -> DataFrame:
     """Every gold chunk with its text, marked as found or missed."""
     hit = _retrieved(spark, sf).select("query", "chunk_idx", F.lit("HIT").alias("outcome"))
-    held = V.gold(spark, sf).select("query", "chunk_idx").join(V.chunks(spark, sf), "chunk_idx", "left").join(hit, ["query", "chunk_idx"], "left")
+    held = V.chunks(spark, sf).join(F.broadcast(V.gold(spark, sf).select("query", "chunk_idx")), "chunk_idx").join(hit, ["query", "chunk_idx"], "left")
     return held.select("query", "chunk_idx", "chunk_id", F.length("text").cast("long").alias("chars"), F.coalesce("outcome", F.lit("MISS")).alias("outcome"))
 
 

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def test_bm25_against_a_direct_count(spark):
     assert {r.chunk_idx: r.score for r in got.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("docs, asked_at_once", [(1024, 512), (3, 2)])
+def test_scan_has_the_best_of_the_postings(spark, docs, asked_at_once):
+    """In batches of any size, over copies and ties, and filled with chunks that share nothing, smallest first."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(7)))) for i in rng.sample(range(100), 60)]
+    chunks, asked = spark.createDataFrame(rows, "chunk_idx long, text string").repartition(3), [(n, t) for n, t in enumerate(("a b", "A a c", "zz", "", "h g f"))]
+    index = invert(chunks)
+    want = {(r.query, r.chunk_idx): r.score for r in rank.bm25_scores(index, spark.createDataFrame(asked, "query long, text string")).collect()}
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    named = [(str(q), {t: n * idf[t] for t, n in Counter(text.lower().split()).items() if t in idf}) for q, text in asked]
+    rank_docs, rank_asked, rank._DOCS, rank._ASKED = rank._DOCS, rank._ASKED, docs, asked_at_once
+    try:
+        got = pd.concat(rank._best_of_scan(named, index.corpus.first().avgdl, 5)(iter([pd.DataFrame(rows[:20], columns=["chunk_idx", "words"]), pd.DataFrame(rows[20:], columns=["chunk_idx", "words"])])))
+    finally:
+        rank._DOCS, rank._ASKED = rank_docs, rank_asked
+    plan = {(r.query, r.rank): (r.chunk_idx, r.score) for r in rank.bm25_top_k(index, spark.createDataFrame(asked, "query long, text string"), chunks, 5).collect()}
+    for q, _ in asked:
+        best = sorted((-round(want.get((q, i), 0.0), 9), i) for i, _ in rows)[:5]
+        assert [(-s, i) for s, i in zip(got.score[got["query"] == str(q)], got.chunk_idx[got["query"] == str(q)])] == [pytest.approx(b) for b in best]
+        assert [(-plan[q, r][1], plan[q, r][0]) for r in range(1, 6)] == [pytest.approx(b) for b in best]
+
+
 def test_top_k_edges(spark):
     scores = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 2.0)], "query long, chunk_idx long, score double")
     assert rank.top_k(scores, 0).count() == 0
