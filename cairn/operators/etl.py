@@ -22,6 +22,7 @@ STOP = ("references", "bibliography", "acknowledgements", "acknowledgments")
 FRONT = "Front matter"
 MAX_CHARS, OVERLAP, MIN_CHARS, LONG_CHUNK = 1800, 200, 200, 500
 NOISE_LIMIT = 0.25
+HELD_CHARS = 1 << 22  # of sections that a worker holds before they leave
 
 EDGE = r"(?U)^\s+|\s+$"
 
@@ -129,9 +130,14 @@ def parse_records(records: DataFrame, files: DataFrame, extract: Callable[[str],
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda rows: pd.DataFrame(rows, columns=["paper_id", "section_no", "section", "text", "reason"])
         for pdf in batches:
             out: list[tuple] = []
+            held = 0
             for paper, content in zip(pdf.paper_id, pdf.content, strict=True):
+                if held > HELD_CHARS:  # sections leave in pieces, however many files come at once
+                    yield made(out)
+                    out, held = [], 0
                 if content is None:
                     out.append((paper, None, None, None, "no file found"))
                     continue
@@ -140,7 +146,8 @@ def parse_records(records: DataFrame, files: DataFrame, extract: Callable[[str],
                 except Exception as error:  # any fault of one file is that record's failure, not the run's
                     found = [(paper, None, None, None, str(error))]
                 out += found or [(paper, None, None, None, None)]
-            yield pd.DataFrame(out, columns=["paper_id", "section_no", "section", "text", "reason"])
+                held += sum(len(row[3] or "") for row in found)
+            yield made(out)
 
     kind = dict(records.dtypes)["paper_id"]
     parsed = records.select("paper_id").join(files.select("paper_id", "content"), "paper_id", "left").mapInPandas(run, f"paper_id {kind}, section_no long, section string, text string, reason string")
