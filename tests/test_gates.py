@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,26 @@ def test_fold_against_a_loop(spark, sf):
     assert {r.id: r.reasons for r in G.finalise(rows, "id").select("id", "reasons").collect()} == want
 
 
+def test_fold_in_rounds(spark, monkeypatch):
+    """Chains (each edge waits for the one before), stars and random edges: the rounds accept what a loop does, and no task folds much more than it may."""
+    draw = random.Random(5)
+    shapes = {
+        "chain": [((i + 1) // 2, i // 2) for i in range(60)], "distinct": [(i, i) for i in range(60)], "star": [(0, i) for i in range(60)],
+        "random": sorted({(draw.randrange(25), draw.randrange(25)) for _ in range(150)}, key=lambda _: draw.random()),
+    }
+    folded, fold = [], G._fold
+    monkeypatch.setattr(G, "_fold", lambda edges: folded.append(edges.count()) or fold(edges))
+    for name, pairs in shapes.items():
+        texts, golds, want = set(), set(), set()
+        for i, (q, g) in enumerate(pairs):
+            if q not in texts and g not in golds:
+                texts.add(q), golds.add(g), want.add(f"n{i:03}")
+        rows = [(str(q).encode(), str(g).encode(), i, f"n{i:03}") for i, (q, g) in enumerate(pairs)]
+        got, n = G.accepted(spark.createDataFrame(rows, "q binary, g binary, o int, id string").repartition(3), most=12)
+        assert {r.id for r in got.collect()} == want and n == len(want), name
+    assert max(folded) <= 24
+
+
 def test_manifest_and_shares(spark):
     two = {"qtype": "multi_hop", "gold_chunk_ids": ["a", "b"], "gold_paper_ids": ["p", "q"]}
     done = G.finalise(gated(spark, {}, two | {"question": "Compare the two of them"}, {"status": "rejected"}), "line")
