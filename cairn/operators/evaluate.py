@@ -28,9 +28,9 @@ def set_recall(gold: Column, found: Column) -> Column:
 def recall_of(retrieved: DataFrame, gold: DataFrame, questions: DataFrame, item: str) -> DataFrame:
     """(query, n_gold, n_found, recall) on distinct ``item`` ids, one row per question, recall null without gold."""
     wanted = gold.select("query", item).distinct()
-    hits = wanted.join(retrieved.select("query", item).distinct(), ["query", item], "left_semi").groupBy("query").agg(F.count("*").alias("n_found"))
-    counts = wanted.groupBy("query").agg(F.count("*").alias("n_gold"))
-    joined = questions.select("query").join(counts, "query", "left").join(hits, "query", "left").na.fill(0, ["n_gold", "n_found"])
+    found = retrieved.select("query", item).distinct().withColumn("_found", F.lit(1))
+    counts = wanted.join(found, ["query", item], "left").groupBy("query").agg(F.count("*").alias("n_gold"), F.count("_found").alias("n_found"))  # gold, a scan, is read once
+    joined = questions.select("query").join(counts, "query", "left").na.fill(0, ["n_gold", "n_found"])
     return joined.withColumn("recall", F.try_divide(F.col("n_found"), F.col("n_gold").cast("double")))
 
 

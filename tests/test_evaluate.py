@@ -102,3 +102,13 @@ def test_hashed_bootstrap_against_direct_draws(spark, distinct):
         v = np.array([x for k, _, x in rows if k == g and x is not None])
         m = [np.mean([v[int(hashlib.md5(b"%d:%d" % (rep, i)).hexdigest()[:8], 16) % len(v)] for i in range(len(v))]) for rep in range(30)]
         assert got[g] == pytest.approx((len(v), v.mean(), np.percentile(m, 2.5), np.percentile(m, 97.5)))
+
+
+def test_recall_reads_gold_once(spark):
+    from cairn.operators.evaluate import recall_of
+
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (2, "c")], "query long, item string").mapInPandas(lambda batches: batches, "query long, item string")
+    found = spark.createDataFrame([(1, "b"), (1, "b"), (1, "z"), (2, None), (3, "c")], "query long, item string")
+    got = recall_of(found, gold, spark.createDataFrame([(1,), (2,), (3,)], "query long"), "item")
+    assert {r["query"]: (r.n_gold, r.n_found, r.recall) for r in got.collect()} == {1: (2, 1, 0.5), 2: (2, 0, 0.0), 3: (0, 0, None)}
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
