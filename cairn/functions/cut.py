@@ -67,11 +67,11 @@ def cutter(spark: SparkSession) -> Cutter:
         every = spark.range(POINTS).where("id not between 55296 and 57343 and id <> 65279").select("id", c)  # but surrogates and the mark that decoding drops
         every = every.where((low != F.col("c")) | low.rlike(WORD))
         every = every.select("id", low.alias("low"), met.alias("met"), tokens(F.concat("c", s, a, "c", s, "c", a, s, a, "c", a)).alias("ts"))
-        rows = every.where(F.col("ts") != F.array(a, a, a, a)).select("id", "low", ((F.length("low") == 1) & (F.col("ts") == F.col("met"))).alias("plain")).collect()
+        plain = (F.length("low") == 1) & (F.col("ts") == F.col("met"))
+        rows = every.where(F.col("ts") != F.array(a, a, a, a)).select("id", F.ascii("low").alias("low"), plain.alias("plain")).toArrow()  # Row by Row it takes more of the driver
+        ids, low, plain = (rows[n].to_numpy() for n in ("id", "low", "plain"))
         table = np.full(POINTS, ord(" "), np.uint32)
-        for r in rows:
-            if r.plain:
-                table[r.id] = ord(r.low)
+        table[ids[plain]] = low[plain]
         table[0] = ord("\n")
-        _CUTTERS[key] = Cutter(_packed(table), tuple(chr(r.id) for r in rows if not r.plain))
+        _CUTTERS[key] = Cutter(_packed(table), tuple(map(chr, ids[~plain].tolist())))
     return _CUTTERS[key]
